@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 
 def pick(df: DataFrame, **columns: str) -> DataFrame:
     """Only the named columns, under fixed inner names, whatever else the table holds."""
@@ -57,6 +59,7 @@ def arrow_map(df: DataFrame, make: Callable[[], Callable[[Iterator[pa.RecordBatc
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from make()(batches)
 
+    ship(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 

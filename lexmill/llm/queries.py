@@ -9,13 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 from .language_id import op4_language_id
 from .packing import op1_packing
 from .quality import op6_quality
+from .substring_dedup import op10_substring_dedup
+from .suffix_dedup import op7_suffix_dedup
 from .token_counts import op5_token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_packing, op4_language_id, op5_token_counts, op6_quality)}
+    return {f.__name__: f for f in (op1_packing, op4_language_id, op5_token_counts, op6_quality, op7_suffix_dedup, op10_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
