@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .language_id import op4_language_id
+from .near_dup import op9_minhash_dedup
 from .packing import op1_packing
 from .quality import op6_quality
 from .substring_dedup import op10_substring_dedup
@@ -17,7 +18,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_packing, op4_language_id, op5_token_counts, op6_quality, op7_suffix_dedup, op10_substring_dedup)}
+    return {f.__name__: f for f in (op1_packing, op4_language_id, op5_token_counts, op6_quality, op7_suffix_dedup, op9_minhash_dedup, op10_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
