@@ -15,6 +15,8 @@ any labelled row everything is 'und'; an empty table gives an empty table; furth
 from __future__ import annotations
 
 import re
+import uuid
+import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -34,6 +36,8 @@ MOST_CHARS = 20_000
 REMEMBERED = 600_000
 #: Rejection: this many times the spread of the calibrating documents' cross-entropies above their mean, and never less than this much above the largest.
 SPREAD, MARGIN = 8.0, 0.25
+#: What a text of one symbol may have beyond that; a text of n symbols, this over the root of n.
+SHORT = 6.0
 
 _WORD = re.compile(r"[^\W\d_]+")
 START, END = 2, 3
@@ -198,6 +202,18 @@ class Scorer:
         return out
 
 
+    def judge(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+        """The language of each text, the confidence in it, its cross-entropy, and whether the text is rejected."""
+        e = self.entropies(texts)
+        e, n = e[:, :-1], e[:, -1]
+        best = e.argmin(1)
+        lowest = e[np.arange(len(e)), best]
+        score = np.where(n > 0, 1 / np.exp(-self.models.scale * (e - lowest[:, None])).sum(1), 0.0)
+        # A short text's cross-entropy strays further from its language's.
+        rejected = (n == 0) | (lowest > self.models.limit[best] + SHORT / np.sqrt(np.maximum(n, 1)))
+        return [self.models.langs[k] if m else "und" for k, m in zip(best, n)], score, lowest, rejected
+
+
 def fit(sample: dict[str, list[str]]) -> Models:
     """sample: the texts of each language. Every fifth text calibrates."""
     langs = sorted(sample)
@@ -222,29 +238,28 @@ def fit(sample: dict[str, list[str]]) -> Models:
 _shared: dict[str, Scorer] = {}
 
 
+def shared_scorer(models: Models | None, token: str) -> Scorer | None:
+    """The scorer of one run's models, with what it remembers, for all tasks of a worker process."""
+    if models is not None and token not in _shared:
+        _shared.clear()
+        _shared[token] = Scorer(models)
+    return _shared.get(token)
+
+
 def _label(df: DataFrame, models: Models | None, token: str, kind: str) -> DataFrame:
     sent = df.sparkSession.sparkContext.broadcast(models)
 
     def make():
-        scorer = _shared.get(token)
-        if scorer is None and sent.value is not None:
-            _shared.clear()
-            scorer = _shared[token] = Scorer(sent.value)
+        scorer = shared_scorer(sent.value, token)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 texts = [t or "" for t in b.column(1).to_pylist()]
                 if scorer is None:
-                    best, n, lang = np.zeros(len(texts), int), np.zeros(len(texts)), ["und"] * len(texts)
-                    score, entropy, reject = n, n, n == 0
+                    n = np.zeros(len(texts))
+                    lang, score, entropy, reject = ["und"] * len(texts), n, n, n == 0
                 else:
-                    e = scorer.entropies(texts)
-                    e, n = e[:, :-1], e[:, -1]
-                    best = e.argmin(1)
-                    entropy = e[np.arange(len(e)), best]
-                    score = np.where(n > 0, 1 / np.exp(-scorer.models.scale * (e - entropy[:, None])).sum(1), 0.0)
-                    reject = (n == 0) | (entropy > scorer.models.limit[best])
-                    lang = [scorer.models.langs[k] if m else "und" for k, m in zip(best, n)]
+                    lang, score, entropy, reject = scorer.judge(texts)
                 yield batch(doc_id=b.column(0), lang_pred=pa.array(lang, pa.string()), score=pa.array(score, pa.float64()), cross_entropy=pa.array(entropy, pa.float64()), rejected=pa.array(reject, pa.bool_()))
 
         return run
@@ -270,8 +285,6 @@ def fit_sample(docs: DataFrame, may_learn: Column, sample_docs: int = SAMPLE_DOC
 
 
 def hash_text(text: str) -> int:
-    import zlib
-
     return zlib.crc32(text.encode("utf-8", "surrogatepass"))
 
 
@@ -279,11 +292,28 @@ def identify(docs: DataFrame, may_learn: Column | None = None, sample_docs: int
     """Per row: doc_id, lang_pred, score, cross_entropy, rejected. may_learn: of which rows (by doc_id, text, lang) labels may be used; all if None."""
     rows = pick(docs, doc_id=id_col, text=text_col, lang=lang_col)
     models = fit_sample(rows, F.lit(True) if may_learn is None else may_learn, sample_docs)
-    import uuid
-
     return _label(rows.select("doc_id", "text"), models, uuid.uuid4().hex, rows.schema["doc_id"].dataType.simpleString())
 
 
+def keep_identified(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """docs, all columns, without the rows that no model accepts. Rows are filtered where they are read."""
+    models = fit_sample(pick(docs, doc_id=id_col, text=text_col, lang=lang_col), F.lit(True), sample_docs)
+    sent, where, token = docs.sparkSession.sparkContext.broadcast(models), docs.columns.index(text_col), uuid.uuid4().hex
+
+    def make():
+        scorer = shared_scorer(sent.value, token)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                if scorer is not None:
+                    b = b.filter(pa.array(~scorer.judge([t or "" for t in b.column(where).to_pylist()])[3], pa.bool_()))
+                    yield b
+
+        return run
+
+    return arrow_map(docs, make, docs.schema)
+
+
 def fold(of: int, id_col: str = "doc_id") -> Column:
     """crc32 of the id as text, mod of."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % of

@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontaminate import op3_decontamination
+from .html_text import op8_html_extraction
 from .language_id import op4_language_id
 from .near_dup import op9_minhash_dedup
 from .packing import op1_packing
@@ -13,12 +15,14 @@ from .quality import op6_quality
 from .substring_dedup import op10_substring_dedup
 from .suffix_dedup import op7_suffix_dedup
 from .token_counts import op5_token_counts
+from .vector_search import op2_inverted_multi_index
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_packing, op4_language_id, op5_token_counts, op6_quality, op7_suffix_dedup, op9_minhash_dedup, op10_substring_dedup)}
+    own = (op1_packing, op2_inverted_multi_index, op3_decontamination, op4_language_id, op5_token_counts, op6_quality, op7_suffix_dedup, op8_html_extraction, op9_minhash_dedup, op10_substring_dedup)
+    return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
