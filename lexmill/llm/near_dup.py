@@ -10,8 +10,9 @@ similarity with concentration bounds as if each coordinate were hashed on its ow
    and sends on that one only, so no band has more rows than there are flushes of workers.
 3. Candidate pairs are confirmed on the full shingle sets; confirmed links make components.
 4. In a band whose members are in several components after that, each member outside the largest is compared, by
-   sketch, with all members of other components, in blocks; first its few nearest are confirmed, then all others
-   that come near enough. So no candidate pair that would still join two components is left out.
+   sketch, with all members of other components, in blocks; first its few nearest are confirmed, then, block by block,
+   all others that come near enough until one links it. So no candidate pair that would still join two components is
+   left out, and none needs a row of its own.
 
 A pair of similarity 0.8 shares no band with a probability of 3e-6, and fails the sketch test with one below 1e-8.
 
@@ -39,7 +40,7 @@ BINS = ROWS * BANDS
 #: Equal coordinates of BINS below which a pair is not near: 0.6 of them, over six deviations below 0.8.
 NEAR = BINS * 6 // 10
 #: Classes that a worker holds at once; members of a band that are compared at once; nearest that are confirmed first.
-FLUSH, BLOCK, NEAREST = 20_000, 2000, 3
+FLUSH, BLOCK, NEAREST = 20_000, 1000, 3
 
 _SEED = seeded(2 * BINS, 5)
 _LATE = (np.arange(2 * BINS, dtype=np.uint64) << np.uint64(48))[:, None]
@@ -166,35 +167,91 @@ def _meet_bands():
     return run
 
 
-def _compare(nearest: int | None):
-    """Of rows (k, p, m, probe, doc, comp, sketch) by (k, p, m): pairs of a probe and a member of another component that come near; the nearest of each probe only, if a number is given."""
+def _facing(g: dict[str, np.ndarray]) -> Iterator[tuple[int, int, int, np.ndarray, np.ndarray]]:
+    """Of rows by (k, p, m): bounds of a group, a probe in it, and the members of other components that come near, with their equal coordinates."""
+    bounds = np.append(np.flatnonzero(_heads(g["k"], g["p"], g["m"])), len(g["k"]))
+    for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+        probe, comp = g["probe"][x:y], g["comp"][x:y]
+        s = np.frombuffer(b"".join(g["sketch"][x:y]), np.uint16).reshape(-1, BINS)
+        others = np.flatnonzero(~probe)
+        for i in np.flatnonzero(probe).tolist():
+            far = others[comp[others] != comp[i]]
+            same = (s[far] == s[i]).sum(1)
+            far, same = far[same >= NEAR], same[same >= NEAR]
+            if len(far):
+                yield x, y, x + i, x + far, same
+
+
+def _nearest():
+    """The NEAREST members of other components of each probe, as pairs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g in _groups(batches):
+            found = []
+            for _, _, i, far, same in _facing(g):
+                other = g["doc"][far]
+                other = other[np.lexsort((other, -same))[:NEAREST]]
+                found.append(np.stack([np.minimum(other, g["doc"][i]), np.maximum(other, g["doc"][i])]))
+            if found:
+                a, b = np.unique(np.concatenate(found, 1), axis=1)
+                yield _rows(a=a, b=b)
+
+    return run
+
+
+def _involved():
+    """The rows of probes, and of members, that come near to one another: their texts have to be compared."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g in _groups(batches):
+            keep = np.zeros(len(g["k"]), bool)
+            for _, _, i, far, _ in _facing(g):
+                keep[i] = True
+                keep[far] = True
+            if keep.any():
+                table = pa.table({n: v[keep] for n, v in g.items()}).combine_chunks()
+                yield from table.to_batches()
+
+    return run
+
+
+def _settle(size: int, per_cent: int):
+    """Of rows by (k, p, m), with texts: one confirmed link, if there is any, of each probe to each other component in its group."""
 
     def make():
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for g in _groups(batches):
-                bounds = np.append(np.flatnonzero(_heads(g["k"], g["p"], g["m"])), len(g["k"]))
-                found = []
-                for x, y in zip(bounds[:-1], bounds[1:]):
-                    probe, doc, comp = g["probe"][x:y], g["doc"][x:y], g["comp"][x:y]
-                    s = np.frombuffer(b"".join(g["sketch"][x:y]), np.uint16).reshape(-1, BINS)
-                    others = np.flatnonzero(~probe)
-                    for i in np.flatnonzero(probe):
-                        far = others[comp[others] != comp[i]]
-                        same = (s[far] == s[i]).sum(1)
-                        far, same = far[same >= NEAR], same[same >= NEAR]
-                        if nearest is not None:
-                            far = far[np.lexsort((doc[far], -same))[:nearest]]
-                        if len(far):
-                            found.append(np.stack([np.minimum(doc[far], doc[i]), np.maximum(doc[far], doc[i])]))
+                at, sets, found = -1, {}, []
+                for x, _, i, far, same in _facing(g):
+                    if x != at:
+                        at, sets = x, {}
+                    for j in (i, *far.tolist()):
+                        if j not in sets:
+                            sets[j] = shingles(g["text"][j], size)
+                    done = set()
+                    for j in far[np.lexsort((g["doc"][far], -same))].tolist():
+                        if g["comp"][j] not in done and linked(sets[i], sets[j], per_cent):
+                            done.add(g["comp"][j])
+                            found.append((g["doc"][i], g["doc"][j]))
                 if found:
-                    a, b = np.unique(np.concatenate(found, 1), axis=1)
-                    yield _rows(a=a, b=b)
+                    a, b = np.array(found, np.int64).T
+                    yield _rows(a=np.minimum(a, b), b=np.maximum(a, b))
 
         return run
 
     return make
 
 
+def linked(x: np.ndarray, y: np.ndarray, per_cent: int) -> bool:
+    """Whether two sets (sorted) have per_cent of their union in common."""
+    small, large = (x, y) if len(x) < len(y) else (y, x)
+    if 100 * len(small) < per_cent * len(large):
+        return False
+    at = np.minimum(np.searchsorted(large, small), len(large) - 1)
+    both = int((large[at] == small).sum())
+    return 100 * both >= per_cent * (len(x) + len(y) - both)
+
+
 def _confirm(size: int, per_cent: int):
     def make():
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,13 +267,7 @@ def _confirm(size: int, per_cent: int):
             for b in batches:
                 links = []
                 for a, z, left, right in zip(*(b.column(k).to_pylist() for k in range(4))):
-                    x, y = of(a, left), shingles(right, size)
-                    small, large = (x, y) if len(x) < len(y) else (y, x)
-                    if 100 * len(small) < per_cent * len(large):
-                        continue
-                    at = np.minimum(np.searchsorted(large, small), len(large) - 1)
-                    both = int((large[at] == small).sum())
-                    if 100 * both >= per_cent * (len(x) + len(y) - both):
+                    if linked(of(a, left), shingles(right, size), per_cent):
                         links.append((a, z))
                 if links:
                     a, z = np.array(links, np.int64).T
@@ -254,26 +305,28 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, per_cent: int = 80, id_co
     tried = work.table(met.where(F.col("how") == PAIR).select("a", "b").distinct(), "pairs")
     links = confirmed(tried, "links")
     label = components(links, work, "components")
-    for step, nearest in enumerate((NEAREST, None)):
-        now = bands.join(label, F.col("doc") == F.col("node"), "left").select("k", "doc", F.coalesce("comp", "doc").alias("comp")).distinct()
-        now = work.table(now, f"now-{step}")
+    one = shown.dropDuplicates(["doc"])
+    for step in ("nearest", "rest"):
+        now = work.table(bands.join(label, F.col("doc") == F.col("node"), "left").select("k", "doc", F.coalesce("comp", "doc").alias("comp")).distinct(), f"{step}-now")
         per = now.groupBy("k", "comp").agg(F.count(F.lit(1)).alias("c"))
         open_ = per.groupBy("k").agg(F.count(F.lit(1)).alias("comps"), F.sum("c").alias("n"), F.max_by("comp", F.struct("c", -F.col("comp"))).alias("main"), F.max("c").alias("most")).where("comps > 1 and n > 2")
-        open_ = work.table(open_.select("k", "main", F.ceil(F.col("n") / BLOCK).cast("int").alias("ms"), F.ceil((F.col("n") - F.col("most")) / BLOCK).cast("int").alias("ps")), f"open-{step}")
-        here = work.table(now.join(open_, "k"), f"here-{step}")
-        dealt = F.pmod(F.xxhash64("doc"), F.col("ms"))
-        members = here.select("k", F.explode(F.sequence(F.lit(0), F.col("ps") - 1)).alias("p"), dealt.cast("int").alias("m"), F.lit(False).alias("probe"), "doc", "comp")
-        probes = here.where("comp <> main").select("k", F.pmod(F.xxhash64("doc"), F.col("ps")).cast("int").alias("p"), F.explode(F.sequence(F.lit(0), F.col("ms") - 1)).alias("m"), F.lit(True).alias("probe"), "doc", "comp")
-        faced = members.union(probes).join(shown.dropDuplicates(["doc"]), "doc").select(F.xxhash64("k", "p", "m").alias("k"), "p", "m", "probe", "doc", "comp", "sketch")
-        pairs = arrow_map(faced.repartition("k").sortWithinPartitions("k", "p", "m", "doc"), _compare(nearest), "a long, b long").distinct()
-        fresh = work.table(pairs.join(tried, ["a", "b"], "left_anti"), f"pairs-{step}")
-        if not fresh.limit(1).count():
-            break
-        more = confirmed(fresh, f"links-{step}")
-        tried = tried.union(fresh)
-        links = links.union(more)
+        open_ = work.table(open_.select("k", "main", F.ceil(F.col("n") / BLOCK).cast("int").alias("ms"), F.ceil((F.col("n") - F.col("most")) / BLOCK).cast("int").alias("ps")), f"{step}-open")
+        here = work.table(now.join(open_, "k"), f"{step}-here")
+        mine = lambda of: F.pmod(F.xxhash64("doc"), F.col(of)).cast("int")
+        all_ = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
+        members = here.select("k", all_("ps").alias("p"), mine("ms").alias("m"), F.lit(False).alias("probe"), "doc", "comp")
+        probes = here.where("comp <> main").select("k", mine("ps").alias("p"), all_("ms").alias("m"), F.lit(True).alias("probe"), "doc", "comp")
+        faced = members.union(probes).join(one, "doc").select(F.xxhash64("k", "p", "m").alias("k"), "p", "m", "probe", "doc", "comp", "sketch")
+        met_ = lambda df: df.repartition("k").sortWithinPartitions("k", "p", "m", "doc")
+        if step == "nearest":
+            pairs = arrow_map(met_(faced), _nearest, "a long, b long").distinct()
+            more = confirmed(work.table(pairs.join(tried, ["a", "b"], "left_anti"), f"{step}-pairs"), f"{step}-links")
+        else:
+            left = work.table(arrow_map(met_(faced), _involved, "k long, p int, m int, probe boolean, doc long, comp long, sketch binary"), f"{step}-involved")
+            more = work.table(arrow_map(met_(left.join(texts.dropDuplicates(["doc"]), "doc").select(*left.columns, "text")), _settle(shingle, per_cent), "a long, b long"), f"{step}-links")
         if more.limit(1).count():
-            label = components(links, work, f"components-{step}")
+            links = links.union(more)
+            label = components(links, work, f"{step}-components")
     out = member.join(label, F.col("rep") == F.col("node"), "left")
     component = F.coalesce("comp", "rep", "doc_id")
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
