@@ -33,7 +33,8 @@ DISCOUNT = 0.75
 SAMPLE_DOCS = 400
 #: Longer documents are left out of the sample.
 MOST_CHARS = 20_000
-REMEMBERED = 600_000
+#: Words that a worker remembers the scores of, and texts whose words are looked up together.
+REMEMBERED, TOGETHER = 250_000, 64
 #: Rejection: this many times the spread of the calibrating documents' cross-entropies above their mean, and never less than this much above the largest.
 SPREAD, MARGIN = 8.0, 0.25
 #: What a text of one symbol may have beyond that; a text of n symbols, this over the root of n.
@@ -173,10 +174,9 @@ class Scorer:
         self.table = np.zeros((1 << 14, len(self.models.langs) + 1))
 
     def learn(self, words: list[str]) -> None:
-        new = [w for w in dict.fromkeys(words) if w not in self.index]
-        for a in range(0, len(new), 50_000):
-            part = new[a : a + 50_000]
-            have = len(self.index)
+        """Scores new words, some ten thousand at once."""
+        for a in range(0, len(words), 10_000):
+            part, have = words[a : a + 10_000], len(self.index)
             while have + len(part) > len(self.table):
                 self.table = np.concatenate([self.table, np.zeros_like(self.table)])
             self.table[have : have + len(part), :-1] = self.models.score(part)
@@ -185,18 +185,17 @@ class Scorer:
 
     def entropies(self, texts: list[str]) -> np.ndarray:
         """For each text: its cross-entropy under each language, a symbol; and its number of symbols."""
-        if len(self.index) > REMEMBERED:
-            self.forget()
         out = np.zeros((len(texts), len(self.models.langs) + 1))
-        lists = [words_of(t) for t in texts]
-        for i, words in enumerate(lists):
-            try:
-                at = list(map(self.index.__getitem__, words))
-            except KeyError:
-                self.learn([w for later in lists[i : i + 64] for w in later])
-                at = list(map(self.index.__getitem__, words))
-            if at:
-                out[i] = self.table[at].sum(0)
+        for first in range(0, len(texts), TOGETHER):
+            lists = [words_of(t) for t in texts[first : first + TOGETHER]]
+            new = set().union(*lists).difference(self.index)
+            if len(self.index) + len(new) > REMEMBERED:
+                self.forget()
+                new = set().union(*lists)
+            self.learn(sorted(new))
+            for i, words in enumerate(lists, first):
+                if words:
+                    out[i] = self.table[list(map(self.index.__getitem__, words))].sum(0)
         n = out[:, -1]
         out[:, :-1] /= -np.maximum(n, 1)[:, None]
         return out
