@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 from .common import Work, arrow_map, batch, pick
 from .language_id import fold
 
-FEATURES, RIDGE, BINS, GROUPS = 192, 1e-3, 512, 16
+FEATURES, BINS, GROUPS, FOLDS = 192, 512, 16, 4
+RIDGES = (1e-3, 1e-2, 1e-1, 1.0, 10.0)
 NAMES = "log_bytes log_words mean_word letters digits upper spaces symbols pipes marks other distinct short long line_words line_repeat capital_words end_marks marked_words log_lines".split()
 
 _ASCII = np.zeros(256, int)
@@ -87,19 +88,23 @@ def document_statistics(rows: DataFrame, kind: str) -> DataFrame:
     return arrow_map(rows, make, f"doc_id {kind}, " + ", ".join(f"{k} double" for k in NAMES))
 
 
-def _summed(train: DataFrame, mean: np.ndarray, spread: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The normal equations over all rows of train (label, then NAMES)."""
-    width = FEATURES + 1
+def _summed(train: DataFrame, mean: np.ndarray, spread: np.ndarray) -> list[np.ndarray]:
+    """The normal equations over the rows of each fold of train (fold, label, then NAMES): of (features, label), so that the last row holds the right side and the label's square."""
+    width = FEATURES + 2
     schema = "part int, data binary"
 
     def shares():
         def run(batches):
-            a, c, n = np.zeros((width, width)), np.zeros(width), 0
+            total, any_ = np.zeros((FOLDS, width, width)), False
             for b in batches:
-                z, y = features(_table(b, 1), mean, spread), b.column(0).to_numpy(zero_copy_only=False).astype(float)
-                a, c, n = a + z.T @ z, c + z.T @ y, n + len(y)
-            if n:
-                yield batch(part=pa.array([TaskContext.get().partitionId() % GROUPS], pa.int32()), data=pa.array([np.concatenate([a.ravel(), c]).tobytes()], pa.binary()))
+                fold, y = (b.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+                z = np.concatenate([features(_table(b, 2), mean, spread), y[:, None]], 1)
+                for f in range(FOLDS):
+                    own = z[fold == f]
+                    total[f] += own.T @ own
+                any_ = any_ or len(z) > 0
+            if any_:
+                yield batch(part=pa.array([TaskContext.get().partitionId() % GROUPS], pa.int32()), data=pa.array([total.tobytes()], pa.binary()))
 
         return run
 
@@ -116,7 +121,12 @@ def _summed(train: DataFrame, mean: np.ndarray, spread: np.ndarray) -> tuple[np.
         return run
 
     both = sum(np.frombuffer(r["data"]) for r in arrow_map(arrow_map(train, shares, schema).repartition(GROUPS, "part"), sums, schema).collect())
-    return both[: width * width].reshape(width, width), both[width * width :]
+    return list(both.reshape(FOLDS, width, width))
+
+
+def _solved(equations: np.ndarray, ridge: float) -> np.ndarray:
+    a = equations[:-1, :-1]
+    return np.linalg.solve(a + ridge * np.eye(len(a)), equations[:-1, -1])
 
 
 class Fitted:
@@ -131,23 +141,35 @@ class Fitted:
 
 
 def fit(train: DataFrame) -> Fitted | float:
-    """train: label double, then NAMES. A constant where there is nothing to fit."""
+    """train: fold int, label double, then NAMES. A constant where there is nothing to fit.
+
+    The ridge is the one of RIDGES with the least error on folds left out, and scores are calibrated on such folds too.
+    """
     s = train.agg(F.count(F.lit(1)).alias("n"), F.avg("label").alias("y"), *[f(k).alias(f"{f.__name__}_{k}") for k in NAMES for f in (F.avg, F.stddev_pop)]).first()
     if s["n"] < 2 or s["y"] in (0.0, 1.0):
         return 0.5 if s["y"] is None else float(s["y"])
     mean = np.array([s[f"avg_{k}"] for k in NAMES])
     spread = np.array([s[f"stddev_pop_{k}"] for k in NAMES])
     spread[spread < 1e-9] = 1.0
-    a, c = _summed(train, mean, spread)
-    weights = np.linalg.solve(a + RIDGE * max(1.0, np.sqrt(s["n"])) * np.eye(len(a)), c)
+    folds = _summed(train, mean, spread)
+    whole = sum(folds)
+
+    def error(ridge: float) -> float:
+        left = [np.append(-_solved(whole - f, ridge), 1.0) for f in folds]
+        return sum(float(w @ f @ w) for w, f in zip(left, folds))
+
+    ridge = min(RIDGES, key=error)
+    weights, left = _solved(whole, ridge), np.stack([_solved(whole - f, ridge) for f in folds], 1)
 
     def histogram():
         def run(batches):
             n, pos = np.zeros(BINS), np.zeros(BINS)
             for b in batches:
-                at = np.clip(((features(_table(b, 1), mean, spread) @ weights + 0.5) / 2 * BINS).astype(int), 0, BINS - 1)
+                fold, y = (b.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+                raw = (features(_table(b, 2), mean, spread) @ left)[np.arange(len(y)), fold]
+                at = np.clip(((raw + 0.5) / 2 * BINS).astype(int), 0, BINS - 1)
                 n += np.bincount(at, minlength=BINS)
-                pos += np.bincount(at, weights=b.column(0).to_numpy(zero_copy_only=False).astype(float), minlength=BINS)
+                pos += np.bincount(at, weights=y, minlength=BINS)
             k = np.flatnonzero(n)
             yield batch(bin=pa.array(k, pa.int64()), n=pa.array(n[k], pa.float64()), pos=pa.array(pos[k], pa.float64()))
 
@@ -156,8 +178,7 @@ def fit(train: DataFrame) -> Fitted | float:
     bins = sorted(arrow_map(train, histogram, "bin long, n double, pos double").groupBy("bin").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos")).collect())
     at = (np.array([r["bin"] for r in bins]) + 0.5) / BINS * 2 - 0.5
     n, pos = np.array([r["n"] for r in bins]), np.array([r["pos"] for r in bins])
-    levels = pool((pos + 0.5 * s["y"]) / (n + 0.5), n)
-    return Fitted(mean, spread, weights, at, np.clip(levels, 0, 1))
+    return Fitted(mean, spread, weights, at, np.clip(pool(pos / n, n), 0, 1))
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, may_learn: Column, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -168,7 +189,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, may_learn: Column, label_c
     work = Work(spark, "quality")
     stats = work.table(document_statistics(rows, kind), "statistics")
     known = pick(labels, doc_id=id_col, label=label_col).where(may_learn & F.col("label").isNotNull())
-    train = work.table(stats.join(known, "doc_id").select(F.col("label").cast("double").alias("label"), *NAMES), "train")
+    train = work.table(stats.join(known, "doc_id").select(F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)).cast("int").alias("fold"), F.col("label").cast("double").alias("label"), *NAMES), "train")
     sent = spark.sparkContext.broadcast(fit(train))
 
     def make():
