@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import arrow_map, batch, mixed, pick
+from .worker import remembered
 
 ORDER = 4
 DISCOUNT = 0.75
@@ -234,15 +235,9 @@ def fit(sample: dict[str, list[str]]) -> Models:
     return models
 
 
-_shared: dict[str, Scorer] = {}
-
-
 def shared_scorer(models: Models | None, token: str) -> Scorer | None:
     """The scorer of one run's models, with what it remembers, for all tasks of a worker process."""
-    if models is not None and token not in _shared:
-        _shared.clear()
-        _shared[token] = Scorer(models)
-    return _shared.get(token)
+    return None if models is None else remembered("language", token, make=lambda: Scorer(models))
 
 
 def _label(df: DataFrame, models: Models | None, token: str, kind: str) -> DataFrame:

@@ -19,15 +19,18 @@ import zlib
 from collections import defaultdict, deque
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import arrow_map, pick
+from .worker import remembered
 
 #: Remainders that wait at once, and how many of them stay to be combined with later ones.
 POOL, KEEP = 768, 384
-REMEMBERED = 1_000_000
+#: Words that a worker remembers, texts whose words are looked up together, and pieces that it returns together.
+REMEMBERED, TOGETHER, PIECES = 500_000, 64, 2000
 
 
 def closest(counts: dict[int, int], target: int) -> dict[int, int]:
@@ -125,7 +128,7 @@ _NUMBER = "0-9²³¹¼½¾"
 _SPLIT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^\s{_LETTER}{_NUMBER}]+")
 
 
-class WordIds(dict):
+class WordIds:
     """Little-endian 32-bit ids of lower-case words, from the tokenizer library, remembered by word."""
 
     def __init__(self, path: str):
@@ -133,25 +136,27 @@ class WordIds(dict):
 
         self.library = Tokenizer.from_file(path)
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.known: dict[str, bytes] = {}
 
-    def __missing__(self, word: str) -> bytes:
-        if len(self) > REMEMBERED:
-            self.clear()
-        ids = self.library.encode(word, add_special_tokens=False).ids
-        out = struct.pack(f"<{len(ids)}I", *ids)
-        if len(word) < 64:
-            self[word] = out
-        return out
+    def learn(self, words: list[str]) -> None:
+        for word, e in zip(words, self.library.encode_batch_fast(words, add_special_tokens=False)):
+            self.known[word] = np.array(e.ids, "<u4").tobytes()
 
-    def of(self, text: str) -> bytes:
-        """The ids of a text. Words are independent in this vocabulary, so a plain text is the ids of its words; any other goes to the library whole."""
-        if _PLAIN.fullmatch(text) and not any(s in text for s in self.special):
-            return b"".join(map(self.__getitem__, _SPLIT.findall(text.lower())))
-        ids = self.library.encode(text, add_special_tokens=False).ids
-        return struct.pack(f"<{len(ids)}I", *ids)
+    def whole(self, text: str) -> bytes:
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-
-_words: dict[str, WordIds] = {}
+    def of(self, texts: list[str]) -> Iterator[bytes]:
+        """The ids of each text. Words are independent in this vocabulary, so a plain text is the ids of its words; any other goes to the library whole."""
+        for first in range(0, len(texts), TOGETHER):
+            part = texts[first : first + TOGETHER]
+            lists = [_SPLIT.findall(t.lower()) if _PLAIN.fullmatch(t) and not any(s in t for s in self.special) else None for t in part]
+            new = set().union(*(x for x in lists if x)).difference(self.known)
+            if len(self.known) + len(new) > REMEMBERED:
+                self.known.clear()
+                new = set().union(*(x for x in lists if x))
+            self.learn(list(new))
+            for text, words in zip(part, lists):
+                yield self.whole(text) if words is None else b"".join(map(self.known.__getitem__, words))
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = 4096, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
@@ -161,9 +166,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, capacity: int =
     last = struct.pack("<I", end_id)
 
     def make():
-        words = _words.get(tokenizer)
-        if words is None:
-            words = _words[tokenizer] = WordIds(tokenizer)
+        words = remembered("word ids", tokenizer, make=lambda: WordIds(tokenizer))
         base = TaskContext.get().partitionId() << 40
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,18 +185,20 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, capacity: int =
                 cols = list(zip(*rows)) if rows else [()] * 8
                 arrays = [pa.array(cols[0], ids_type), *(pa.array(c, pa.int64()) for c in cols[1:7])]
                 if with_ids:
-                    arrays.append(pa.array([list(struct.unpack(f"<{len(x) // 4}i", x)) for x in cols[7]], pa.list_(pa.int32())))
+                    ends = np.cumsum([0, *(len(x) // 4 for x in cols[7])], dtype=np.int32)
+                    arrays.append(pa.ListArray.from_arrays(ends, np.frombuffer(b"".join(cols[7]), "<i4")))
                 rows.clear()
                 return pa.RecordBatch.from_arrays(arrays, names=[c.split()[0] for c in schema.split(", ")])
 
             for b in batches:
                 ids_type = b.column(0).type
-                for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                    data = words.of(text or "") + last
+                texts = [t or "" for t in b.column(1).to_pylist()]
+                for doc, data in zip(b.column(0).to_pylist(), words.of(texts)):
+                    data += last
                     for made in packer.add((doc, data), len(data) // 4):
                         note(*made)
-                if rows:
-                    yield out()
+                    if len(rows) >= PIECES:
+                        yield out()
             for made in packer.end():
                 note(*made)
             if rows:

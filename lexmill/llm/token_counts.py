@@ -20,9 +20,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import arrow_map, batch, pick
+from .worker import remembered
 
 #: Words remembered by a worker before its memory is cleared.
-REMEMBERED = 1_000_000
+REMEMBERED = 500_000
 
 # Code points for which Python's classes below agree with the tokenizer's; any other text is split by the library itself.
 _PLAIN = re.compile(r"[\t\n\r\x20-\x7e\xa1-ſ‐-‧‰-⁞€]*")
@@ -156,14 +157,9 @@ class PrefixCounter:
         return used[back] + self.plain(text[starts[back] : length])
 
 
-_counters: dict[str, PrefixCounter] = {}
-
-
 def counter(path: str) -> PrefixCounter:
     """One counter a worker process, with what it remembers."""
-    if path not in _counters:
-        _counters[path] = PrefixCounter(path)
-    return _counters[path]
+    return remembered("counter", path, make=lambda: PrefixCounter(path))
 
 
 def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
