@@ -25,6 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import arrow_map, pick
+from .token_counts import byte_letters
 from .worker import remembered
 
 #: Remainders that wait at once, and how many of them stay to be combined with later ones.
@@ -136,11 +137,16 @@ class WordIds:
 
         self.library = Tokenizer.from_file(path)
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.letters = byte_letters()
         self.known: dict[str, bytes] = {}
 
     def learn(self, words: list[str]) -> None:
-        for word, e in zip(words, self.library.encode_batch_fast(words, add_special_tokens=False)):
-            self.known[word] = np.array(e.ids, "<u4").tobytes()
+        """Ids of words that stand alone: the library's model on their byte letters, since nothing is left to normalise or to split."""
+        model, letters = self.library.model, self.letters
+        for word in words:
+            said = word if word.isascii() else "".join([letters[b] for b in word.encode()])
+            ids = [t.id for t in model.tokenize(said)]
+            self.known[word] = struct.pack(f"<{len(ids)}I", *ids)
 
     def whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()

@@ -32,7 +32,7 @@ _NUMBER = "0-9²³¹¼½¾"
 _SPLIT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[{_NUMBER}]+| ?[^\s{_LETTER}{_NUMBER}]+|\s+(?!\S)|\s+")
 
 
-def _byte_letters() -> dict[int, str]:
+def byte_letters() -> dict[int, str]:
     """The printable stand-in of each byte in byte-level vocabularies: printable Latin-1 stands for itself, the rest follow from 256."""
     own = [*range(33, 127), *range(161, 173), *range(174, 256)]
     rest = [b for b in range(256) if b not in own]
@@ -50,7 +50,7 @@ class PrefixCounter:
         merges = said["model"]["merges"]
         pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in merges]
         self.rank = {p: k for k, p in enumerate(pairs)}
-        self.letters = _byte_letters()
+        self.letters = byte_letters()
         self.vocab = {*said["model"]["vocab"]}
         self.longest = max(map(len, self.vocab))
         self.special = [t["content"] for t in said.get("added_tokens", [])]
