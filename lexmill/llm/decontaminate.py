@@ -22,6 +22,7 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +38,10 @@ WALKS, TABLES, BITS = 4, 16, 6
 VOTES, DRIFT = 0.15, 8
 #: Bytes of items that are broadcast at once.
 ITEM_BYTES = 32 << 20
+#: Windows that are embedded at once.
+TOGETHER = 2000
+
+_BIT = np.uint64(0xD6E8FEB86659FD93)
 
 _WORD = re.compile(r"[^\W_]+")
 
@@ -45,32 +50,31 @@ def words_of(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
-def embed(strings: list[str], length: int, walk: int) -> np.ndarray:
-    """One CGK walk of 3 * length steps for each string; 0 beyond its end."""
-    table = np.zeros((len(strings), length + 1), np.uint32)
+def samples(strings: list[str], lengths: list[int]) -> np.ndarray:
+    """The WALKS * TABLES hashes of bit samples of each string's CGK walks. A string is seen as of the given length (its item's), and samples are taken from the first 2 * length steps, in which most strings are read to their end."""
+    out = np.zeros((len(strings), WALKS * TABLES), np.uint64)
+    if not strings:
+        return out
+    size = np.maximum(np.array(lengths, np.int64), 1)
+    longest, rows = int(size.max()), np.arange(len(strings))
+    table = np.zeros((len(strings), longest + 1), np.uint32)
     for i, s in enumerate(strings):
-        x = np.frombuffer(s[:length].encode("utf-32-le", "surrogatepass"), np.uint32)
+        x = np.frombuffer(s[: size[i]].encode("utf-32-le", "surrogatepass"), np.uint32)
         table[i, : len(x)] = x
-    at, rows = np.zeros(len(strings), np.int64), np.arange(len(strings))
-    out = np.zeros((len(strings), 3 * length), np.uint32)
-    for step, salt in enumerate(seeded(3 * length, 100 + walk)):
-        c = table[rows, at]
-        out[:, step] = c
-        at = np.minimum(at + (mixed(c.astype(np.uint64) + salt) >> np.uint64(63)).astype(np.int64), length)
-    return out
-
-
-def samples(strings: list[str], length: int) -> np.ndarray:
-    """The WALKS * TABLES hashes of bit samples of each string, seen as of the given length."""
-    out = np.zeros((len(strings), WALKS * TABLES), np.uint64)
+    read = np.zeros((2 * longest, len(strings)), np.uint32)
     for walk in range(WALKS):
-        steps = embed(strings, length, walk).astype(np.uint64)
-        # Both strings end before step 3 * length mostly; steps up to twice the length say more.
-        chosen = (seeded(TABLES * BITS, 500 + walk) % np.uint64(max(1, 2 * length))).astype(np.int64).reshape(TABLES, BITS)
+        at = np.zeros(len(strings), np.int64)
+        for step, salt in enumerate(seeded(2 * longest, 100 + walk)):
+            c = table[rows, at]
+            read[step] = c
+            # The random bit of this step and character: stay, or move on to the next one.
+            at += ((c.astype(np.uint64) + salt) * _BIT >> np.uint64(63)).astype(np.int64)
+            np.minimum(at, size, out=at)
+        chosen = seeded(TABLES * BITS, 500 + walk).reshape(TABLES, BITS)
         for t in range(TABLES):
             h = np.zeros(len(strings), np.uint64)
-            for c in chosen[t]:
-                h = mixed(h + steps[:, c])
+            for pick_ in chosen[t]:
+                h = mixed(h + read[(np.uint64(pick_) % (2 * size).astype(np.uint64)).astype(np.int64), rows])
             out[:, walk * TABLES + t] = h
     return out
 
@@ -144,49 +148,51 @@ class Items:
         last = np.append(cut[1:], len(item)) - 1
         return list(zip(item[cut[good]].tolist(), start[cut[good]].tolist(), start[last[good]].tolist()))
 
-    def met(self, j: int, windows: list[str]) -> np.ndarray:
-        """Which windows agree with item j in any bit sample."""
-        text = self.rows[j][2]
-        if j not in self.hashes:
-            self.hashes[j] = samples([text], len(text))[0]
-        return (samples(windows, len(text)) == self.hashes[j]).any(1)
+    def met(self, items: list[int], windows: list[str]) -> np.ndarray:
+        """Which windows agree with the item beside them in any bit sample."""
+        new = [j for j in dict.fromkeys(items) if j not in self.hashes]
+        self.hashes.update(zip(new, samples([self.rows[j][2] for j in new], [len(self.rows[j][2]) for j in new])))
+        found = [np.zeros(0, bool)]
+        for a in range(0, len(windows), TOGETHER):
+            own, part = items[a : a + TOGETHER], windows[a : a + TOGETHER]
+            found.append((samples(part, [len(self.rows[j][2]) for j in own]) == np.stack([self.hashes[j] for j in own])).any(1))
+        return np.concatenate(found)
+
+    def find_all(self, texts: list[str]) -> Iterator[list[tuple[int, int, int, int]]]:
+        """find(), a bounded number of texts at a time."""
+        for a in range(0, len(texts), TOGETHER):
+            yield from self.find(texts[a : a + TOGETHER])
 
     def find(self, texts: list[str]) -> list[list[tuple[int, int, int, int]]]:
         """For each text: (item, edit distance, first word, words) of the items that it holds, each at its best place."""
-        out, asked = [], defaultdict(list)
+        out, asked = [], []
         for k, text in enumerate(texts):
             words = words_of(text)
             found: dict[int, tuple[int, int, int]] = {}
-            ids = np.fromiter((self.word.get(w, -1) for w in words), np.int64, len(words))
+            ids = np.fromiter(map(self.word.get, words, repeat(-1)), np.int64, len(words))
             for j in self.short:
                 n = len(self.rows[j][1])
                 want = np.array([self.word[w] for w in self.rows[j][1]])
                 if len(ids) >= n and (hits := np.flatnonzero((np.lib.stride_tricks.sliding_window_view(ids, n) == want).all(1))).size:
                     found[j] = (0, int(hits[0]), n)
             for j, first, last in self.alignments(ids):
-                asked[j].append((k, words, first, last))
+                n = len(self.rows[j][1])
+                a = max(0, first - 3)
+                around = words[a : max(0, last) + n + n // 4 + 3]
+                asked.append((k, j, a, around, [" ".join(words[s : s + n]) for s in range(max(0, first), max(0, last) + 1)]))
             out.append(found)
-        for j, places in asked.items():
+        owner = [p for p, x in enumerate(asked) for _ in x[4]]
+        met = self.met([asked[p][1] for p in owner], [w for x in asked for w in x[4]])
+        for p in dict.fromkeys(np.array(owner, np.int64)[met].tolist()):
+            k, j, a, around, _ = asked[p]
             n, text = len(self.rows[j][1]), self.rows[j][2]
-            windows, owner = [], []
-            for p, (_, words, first, last) in enumerate(places):
-                for s in range(max(0, first), max(0, last) + 1):
-                    windows.append(" ".join(words[s : s + n]))
-                    owner.append(p)
-            met = np.zeros(len(places), bool)
-            for at in range(0, len(windows), 2000):
-                met[np.array(owner[at : at + 2000])[self.met(j, windows[at : at + 2000])]] = True
-            for p in np.flatnonzero(met).tolist():
-                k, words, first, last = places[p]
-                a = max(0, first - 3)
-                around = words[a : last + n + n // 4 + 3]
-                distance, end = best_substring(text, " ".join(around))
-                if distance <= SHARE * len(text) and distance < out[k].get(j, (len(text) + 1,))[0]:
-                    stop, size = 0, 0
-                    while stop < len(around) and size < end:
-                        size += len(around[stop]) + 1
-                        stop += 1
-                    out[k][j] = (distance, a + max(0, stop - n), min(n, stop))
+            distance, end = best_substring(text, " ".join(around))
+            if distance <= SHARE * len(text) and distance < out[k].get(j, (len(text) + 1,))[0]:
+                stop, size = 0, 0
+                while stop < len(around) and size < end:
+                    size += len(around[stop]) + 1
+                    stop += 1
+                out[k][j] = (distance, a + max(0, stop - n), min(n, stop))
         return [sorted((j, *v) for j, v in found.items()) for found in out]
 
 
@@ -214,7 +220,7 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
 
             def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for b in batches:
-                    found = known.find([t or "" for t in b.column(1).to_pylist()])
+                    found = known.find_all([t or "" for t in b.column(1).to_pylist()])
                     rows = [(k, *f) for k, fs in enumerate(found) for f in fs]
                     if rows:
                         k, j, distance, start, n = zip(*rows)
@@ -242,7 +248,7 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text",
 
             def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for b in batches:
-                    clean = [not f for f in known.find([t or "" for t in b.column(where).to_pylist()])]
+                    clean = [not f for f in known.find_all([t or "" for t in b.column(where).to_pylist()])]
                     yield b.filter(pa.array(clean, pa.bool_()))
 
             return run
