@@ -36,8 +36,9 @@ SAMPLE_DOCS = 400
 MOST_CHARS = 20_000
 #: Words that a worker remembers the scores of, and texts whose words are looked up together.
 REMEMBERED, TOGETHER = 250_000, 64
-#: Rejection: this many times the spread of the calibrating documents' cross-entropies above their mean, and never less than this much above the largest.
-SPREAD, MARGIN = 8.0, 0.25
+#: Rejection: above the mean cross-entropy of other languages' texts under the model (or, with one language, this much above its own mean),
+#: and never less than so many times its own texts' spread above their mean, or so much above their largest.
+ALONE, SPREAD, MARGIN = 1.5, 8.0, 0.25
 #: What a text of one symbol may have beyond that; a text of n symbols, this over the root of n.
 SHORT = 6.0
 
@@ -222,15 +223,17 @@ def fit(sample: dict[str, list[str]]) -> Models:
     for i, x in enumerate(langs):
         e = scorer.entropies([t for k, t in enumerate(sample[x]) if not k % 5])
         e = e[e[:, -1] > 0][:, :-1]
-        if len(e):
-            own = e[:, i]
-            models.limit[i] = max(own.mean() + SPREAD * own.std(), own.max() + MARGIN)
-            rows.append(e)
-            truth += [i] * len(e)
-    if rows:
-        e = np.concatenate(rows)
-        e = e - e.min(1, keepdims=True)
-        losses = [(-np.log(np.maximum((p := np.exp(-s * e))[np.arange(len(e)), truth] / p.sum(1), 1e-12)).mean(), s) for s in (1, 2, 4, 8, 16, 32)]
+        rows.append(e)
+        truth += [i] * len(e)
+    e, own = np.concatenate(rows) if rows else np.zeros((0, 0)), np.array(truth, int)
+    for i in range(len(langs)):
+        mine, foreign = e[own == i, i], e[own != i, i]
+        if len(mine):
+            # What texts of other languages cost on average is what a text of none of them would; a mixed text costs less.
+            models.limit[i] = max(mine.mean() + SPREAD * mine.std(), mine.max() + MARGIN, foreign.mean() if len(foreign) else mine.mean() + ALONE)
+    if len(e):
+        gap = e - e.min(1, keepdims=True)
+        losses = [(-np.log(np.maximum((p := np.exp(-s * gap))[np.arange(len(gap)), own] / p.sum(1), 1e-12)).mean(), s) for s in (1, 2, 4, 8, 16, 32)]
         models.scale = float(min(losses)[1])
     return models
 
