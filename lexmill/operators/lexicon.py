@@ -201,7 +201,7 @@ def resolve(words: DataFrame, all_hits: DataFrame, entries: DataFrame) -> DataFr
     """L-12, J-15. words: query. query, id, via (the lemma of the hit that led there), alternatives (at most five). all_hits: query_key (the query in small letters), ord, id, lemma."""
     q = words.select("query", X.trimmed(F.col("query")).alias("q")).select("query", "q", F.lower("q").alias("query_key"), F.upper("q").alias("as_id"))
     direct = q.where(valid_id(F.col("as_id")) & F.col("q").rlike("[0-9]$")).join(entries.select(F.col("id").alias("as_id")), "as_id", "left_semi").select("query", F.col("as_id").alias("id"), F.lit(None).cast("string").alias("via"), F.array().cast("array<string>").alias("alternatives"))
-    rest = q.join(direct.select("query"), "query", "left_anti").join(all_hits, "query_key")
+    rest = q.join(direct.select("query"), "query", "left_anti").join(all_hits.select("query_key", "ord", "id", "lemma"), "query_key")
     order = Window.partitionBy("query").orderBy((F.lower("lemma") != F.col("query_key")).cast("int"), "ord")
     ranked = rest.withColumn("n", F.row_number().over(order))
     best = ranked.where("n = 1").select("query", "id", F.col("lemma").alias("via"))

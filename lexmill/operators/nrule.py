@@ -125,11 +125,17 @@ def check_n_rule(tokens: DataFrame, wordlist: DataFrame, n_forms: DataFrame | No
     near = neighbours(tokens).withColumn("word", X.straight(F.col("text")))
     prefix = F.regexp_extract("word", "^([dDzZ]')", 1)
     rest = F.substring(F.col("word"), F.length(prefix) + 1, F.length("word"))
-    near = near.select("*", prefix.alias("prefix"), F.element_at(F.split(rest, "-"), -1).alias("bare"), token_context(F.col("next_type"), F.col("next_text"), end_is_pause).alias("c"))
-    single = near.where((F.col("bare") != "") & ~F.col("bare").rlike("'$|^'") & ~F.col("hashtag") & ~F.col("word").contains("-") & F.col("c.ctx").isin("keep", "drop"))
-    single = single.withColumn("lower", F.lower("bare")).withColumn("cap", X.capitalised(F.col("bare")) & ~F.col("initial"))
+    near = near.select("*", prefix.alias("prefix"), F.element_at(F.split(rest, "-"), -1).alias("bare"))
+    back = {f: (n, c) for c, forms in RESTORED.items() for f, n in forms.items()}
+    single = near.where((F.col("bare") != "") & ~F.col("bare").rlike("'$|^'") & ~F.col("hashtag") & ~F.col("word").contains("-")).withColumn("lower", F.lower("bare"))
     ends_n = F.col("lower").endswith("n")
-    single = single.where(((F.col("c.ctx") == "drop") & ends_n) | ((F.col("c.ctx") == "keep") & ~ends_n))
+    # Only words that the rule can concern at all are asked what stands after them.
+    may_fall = ends_n if n_forms is not None else ends_n & (F.col("lower").isin(*PAIRS) | F.col("lower").rlike("[^e]en$"))
+    single = single.where(may_fall | (~ends_n & (F.col("lower").isin(*back) | F.col("lower").rlike("[^e]e$"))))
+    # The long CASE stands once, behind a generator that filters are not pushed through.
+    context = token_context(F.col("next_type"), F.col("next_text"), end_is_pause)
+    single = single.select("*", F.explode(F.array(context)).alias("c")).where(F.col("c.ctx") == F.when(ends_n, "drop").otherwise("keep"))
+    single = single.withColumn("cap", X.capitalised(F.col("bare")) & ~F.col("initial"))
     drop = F.col("c.ctx") == "drop"
     stem = F.expr("substring(bare, 1, length(bare) - 1)")
     single = known(single, wordlist, is_word=F.col("bare"), is_stem=F.when(drop, stem), is_longer=F.when(~drop, F.concat("bare", F.lit("n"))))
@@ -156,7 +162,6 @@ def check_n_rule(tokens: DataFrame, wordlist: DataFrame, n_forms: DataFrame | No
     # Missing n (N-06).
     pause = F.col("c.rule") == "6.1.2.4"
     pronoun = ((lower == "de") & F.coalesce(F.col("prev_word").rlike("(?i)(?:s|st|z|x)$"), F.lit(False))) | ((lower == "e") & pause)
-    back = {f: (n, c) for c, forms in RESTORED.items() for f, n in forms.items()}
     longer = lookup({f: n for f, (n, _) in back.items()}, lower)
     trust = lookup({f: c for f, (_, c) in back.items()}, lower)
     trust = F.when(lower.isin("de", "e") & F.coalesce(F.col("next_text").rlike(r"^\p{Ll}"), F.lit(False)), "low").when(pause & ~lower.isin(*SURE_AT_PAUSE), "low").otherwise(trust)
