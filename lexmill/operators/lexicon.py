@@ -158,7 +158,7 @@ def _links(trees: pd.Series) -> pd.Series:
 
 def read_hits(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """S-16, L-01, D11. Search responses, one JSON document a file: file, ord, and the hits in their order."""
-    raw = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_name").alias("file"), F.from_json("value", SEARCH).alias("r"))
+    raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.from_json("value", SEARCH).alias("r"))
     return hits(raw.select("file", F.posexplode("r.results").alias("ord", "h")))
 
 
@@ -176,7 +176,7 @@ def hits(rows: DataFrame) -> DataFrame:
 
 def read_entries(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """S-17, L-08, D12. Entry responses, one JSON document a file, normalised; tables stays JSON text."""
-    e = spark.read.option("wholetext", True).text(path).select(F.from_json("value", ENTRY).alias("r")).select("r.entry.*").where("lod_id is not null")
+    e = spark.read.text(path, wholetext=True).select(F.from_json("value", ENTRY).alias("r")).select("r.entry.*").where("lod_id is not null")
     s = F.when(~F.coalesce(F.col("allSynonyms").startswith("["), F.lit(True)), F.from_json("allSynonyms", SYNONYMS))
     groups = F.transform(s["synonymGroups"], lambda g: F.struct(F.coalesce(g["fromTerms"], F.array().cast("array<string>")).alias("terms"), F.filter(F.transform(g["toSynonyms"], lambda x: x["syn"]), lambda x: x != "").alias("synonyms")))
     sections = F.transform("microStructures", lambda m: F.struct(

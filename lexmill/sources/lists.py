@@ -20,7 +20,7 @@ def read_germanisms(spark: SparkSession, path: str) -> DataFrame:
 
 def read_markdown(spark: SparkSession, path: str) -> DataFrame:
     """S-12. One row a file: text without HTML comments, trimmed."""
-    raw = spark.read.option("wholetext", True).text(path)
+    raw = spark.read.text(path, wholetext=True)
     return raw.select(F.col("_metadata.file_path").alias("file"), X.trimmed(F.regexp_replace("value", r"(?s)<!--.*?-->", "")).alias("text"))
 
 
