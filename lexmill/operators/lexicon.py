@@ -354,3 +354,70 @@ def rendered_entries(entries: DataFrame, languages: tuple[str, ...] = LANGUAGES,
         F.array(F.when(F.size("see_also") > 0, F.concat(F.lit("Related: "), F.array_join(F.transform(F.slice("see_also", 1, 30), lambda x: F.format_string("%s (`%s`)", x["lemma"], x["id"])), ", ")))), F.array(F.when(F.size("categories") > 0, F.concat(F.lit("Categories: "), F.array_join("categories", "; ")))),
     )
     return entries.select("id", F.array_join(F.filter(F.concat(head, gram, meanings, rest), lambda x: x.isNotNull()), "\n").alias("markdown"))
+
+
+# The names of moods and tenses.
+MOODS = dict(indicative="Indicative", conditional="Conditional (Konjunktiv II)", imperative="Imperative", subjunctive="Subjunctive")
+TENSES = dict(present="present", presentSimple="present", pastSimple="simple past (Imperfekt)", presentPerfect="perfect", pastPerfect="pluperfect")
+CONDITIONAL = dict(presentPerfect="periphrastic (géif/géing + inf.)", presentSimple="synthetic")
+
+
+def _named(table: dict[str, str], key: Column) -> Column:
+    return F.coalesce(F.create_map(*[F.lit(x) for kv in table.items() for x in kv])[key], key)
+
+
+def _row(cells: Column) -> Column:
+    return F.concat(F.lit("| "), F.array_join(F.transform(cells, lambda c: F.replace(c, F.lit("|"), F.lit("\\|"))), " | "), F.lit(" |"))
+
+
+def _rule(cells: Column) -> Column:
+    return F.concat(F.lit("| "), F.array_join(F.transform(cells, lambda _: F.lit("---")), " | "), F.lit(" |"))
+
+
+def _pivoted(rows: DataFrame, keys: tuple[str, ...], title: Column) -> DataFrame:
+    """rows: id, group, ord, label, cells (a map). id, block: a table a group, its columns in order of ord, its rows the keys that any column has."""
+    per = rows.groupBy("id", "group").agg(F.array_sort(F.collect_list(F.struct("ord", "label", "cells")), lambda x, y: (x["ord"] - y["ord"]).cast("int")).alias("c"))
+    used = F.filter(F.array(*[F.lit(k) for k in keys]), lambda k: F.exists("c", lambda x: x["cells"][k].isNotNull()))
+    header = F.concat(F.array(F.lit("")), F.transform("c", lambda x: x["label"]))
+    lines = F.transform(used, lambda k: _row(F.concat(F.array(_named(PERSONS, k)), F.transform("c", lambda x: F.coalesce(x["cells"][k], F.lit("–"))))))
+    return per.select("id", "group", F.concat(F.lit("### "), title, F.lit("\n"), F.array_join(F.concat(F.array(_row(header), _rule(header)), lines), "\n")).alias("block"))
+
+
+def rendered_inflection(entries: DataFrame) -> DataFrame:
+    """K-04. id, markdown: conjugation and declension as tables, any other table as a list of its leaves, or else the forms that the entry lists."""
+    verbs = verb_table(entries)
+    label = F.when(F.col("mood") == "conditional", _named(CONDITIONAL, F.col("tense"))).otherwise(_named(TENSES, F.col("tense")))
+    cells = F.map_from_arrays(F.array(*[F.lit(p) for p in PERSONS]), F.array(*PERSONS))
+    verbs = verbs.withColumn("ord", F.row_number().over(Window.partitionBy("id").orderBy(F.monotonically_increasing_id()))).select("id", F.col("mood").alias("group"), "ord", label.alias("label"), cells.alias("cells"))
+    adjectives = adjective_table(entries)
+    named = F.when(F.col("gender") == "masculineFeminineNeutral", "all genders").when(F.col("gender") == "neutral", "neuter").otherwise(F.col("gender"))
+    cases = F.map_from_arrays(F.array(*[F.lit(c) for c in CASES]), F.array(*CASES))
+    adjectives = adjectives.withColumn("ord", F.row_number().over(Window.partitionBy("id").orderBy(F.monotonically_increasing_id()))).select("id", F.col("degree").alias("group"), "ord", F.concat(F.when(F.col("number") == "plural", "pl. ").otherwise("sg. "), named).alias("label"), cases.alias("cells"))
+    tables = _pivoted(verbs, tuple(PERSONS), _named(MOODS, F.col("group"))).unionByName(_pivoted(adjectives, CASES, F.col("group")))
+    tables = tables.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("group", "block"))), lambda x: x["block"]), "\n\n").alias("tables"))
+    leaves = generic_table(entries).where(~F.col("path").startswith("verbConjugation") & ~F.col("path").startswith("adjDeclension.declension"))
+    leaves = leaves.groupBy("id").agg(F.array_join(F.array_sort(F.collect_list(F.concat(F.lit("- "), "path", F.lit(": "), "value"))), "\n").alias("leaves"))
+    conjugation = F.from_json(F.get_json_object("tables", "$.verbConjugation"), "infinitive string, pastParticiple string, auxiliaryVerb string")
+    head = F.concat_ws(" · ", F.concat(F.lit("infinitive: "), conjugation["infinitive"]), F.concat(F.lit("past participle: "), conjugation["pastParticiple"]), F.concat(F.lit("auxiliary: "), conjugation["auxiliaryVerb"]))
+    own = entries.select("id", "lemma", "pos_label", "n_form", head.alias("head")).join(listed_forms(entries), "id").join(tables, "id", "left").join(leaves, "id", "left")
+    listed = F.when(F.col("tables").isNull() & F.col("leaves").isNull(), F.concat_ws("\n", F.when(F.size("forms") > 0, F.concat(F.lit("- "), F.array_join("forms", ", "))), F.when(F.size("participles") > 0, F.concat(F.lit("- past participle: "), F.array_join("participles", " / "))), F.when((F.size("forms") == 0) & (F.size("participles") == 0), "No inflection data for this entry.")))
+    n_form = F.concat(F.lit("n-rule form: **"), F.col("n_form"), F.lit("**"))
+    return own.select("id", F.concat_ws("\n", F.format_string("# Inflection: %s (%s) — `%s`", "lemma", "pos_label", "id"), n_form, F.when(F.col("head") != "", F.col("head")), "tables", "leaves", listed).alias("markdown"))
+
+
+def dictionary_search(all_hits: DataFrame, query: str, lang: str = "lb", limit: int = 10) -> DataFrame:
+    """C-06. all_hits: query_key (small letters), lang, ord and the columns of hits. The first hits of a query, in their order; a blank query has none."""
+    if not (1 <= len(query) <= 100 and 1 <= limit <= 50 and lang in ("lb", *LANGUAGES)):
+        raise ValueError("a query has 1 to 100 characters, a list 1 to 50 hits, a language is lb, de, fr, en or pt")
+    return all_hits.where((F.col("query_key") == query.strip().lower()) & (F.col("lang") == lang)).orderBy("ord").limit(limit)
+
+
+def dictionary_entry(words: DataFrame, all_hits: DataFrame, entries: DataFrame, languages: tuple[str, ...] = LANGUAGES, include_examples: bool = True, max_examples: int = 3) -> DataFrame:
+    """C-07. words: query. The meanings of the entry that each word or id leads to."""
+    found = resolve(words, all_hits, entries)
+    return found.join(trimmed_entry(entries, languages, max_examples if include_examples else 0), "id")
+
+
+def inflection(words: DataFrame, all_hits: DataFrame, entries: DataFrame) -> DataFrame:
+    """C-08. words: query. query, id, markdown of the entry that each word or id leads to."""
+    return resolve(words, all_hits, entries).select("query", "id").join(rendered_inflection(entries), "id")

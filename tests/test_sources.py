@@ -178,3 +178,17 @@ def test_streams(spark, tmp_path):
     stream = spark.readStream.schema("doc_id long, text string").parquet(str(tmp_path / "in"))
     check_stream(stream, check_orthography, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
     assert [r["suggestion"] for r in spark.read.parquet(str(tmp_path / "out")).collect()] == ["Strooss"]
+
+
+def test_lookups(spark, tmp_path):
+    (tmp_path / "e.json").write_text(json.dumps(ENTRY, ensure_ascii=False))
+    (tmp_path / "h.json").write_text(json.dumps(HITS, ensure_ascii=False))
+    e = L.read_entries(spark, str(tmp_path / "e.json")).cache()
+    h = L.read_hits(spark, str(tmp_path / "h.json")).withColumn("query_key", F.lit("beem")).withColumn("lang", F.lit("lb")).cache()
+    words = spark.createDataFrame([("Beem",)], "query string")
+    assert [r["id"] for r in L.dictionary_search(h, " BEEM ", limit=1).collect()] == ["BEEM1"] and L.dictionary_search(h, "  ").count() == 0
+    assert L.dictionary_entry(words, h, e, ("en",), False).first()["translations"] == {"en": "tree [a plant] (big); wood"}
+    told = L.inflection(words, h, e).first()["markdown"]
+    assert "auxiliary: hunn/sinn" in told and "| ech | baamen |" in told and "| du | baams |" in told
+    with pytest.raises(ValueError):
+        L.dictionary_search(h, "x", lang="xx")
