@@ -63,6 +63,13 @@ def arrow_map(df: DataFrame, make: Callable[[], Callable[[Iterator[pa.RecordBatc
     return df.mapInArrow(run, schema)
 
 
+def parts(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of so many at most: what is made of a batch in Python then stays small."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def batch(**columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns.values()], names=list(columns))
 

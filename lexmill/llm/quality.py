@@ -21,10 +21,12 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Work, arrow_map, batch, pick
+from .common import Work, arrow_map, batch, parts, pick
 from .language_id import fold
 
 FEATURES, BINS, GROUPS, FOLDS = 192, 512, 16, 4
+#: Rows that are worked on at once.
+TOGETHER = 1000
 RIDGES = (1e-3, 1e-2, 1e-1, 1.0, 10.0)
 NAMES = "log_bytes log_words mean_word letters digits upper spaces symbols pipes marks other distinct short long line_words line_repeat capital_words end_marks marked_words log_lines".split()
 
@@ -79,7 +81,7 @@ def document_statistics(rows: DataFrame, kind: str) -> DataFrame:
 
     def make():
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
+            for b in parts(batches, TOGETHER):
                 x = np.array([statistics(t or "") for t in b.column(1).to_pylist()]).reshape(-1, len(NAMES))
                 yield batch(doc_id=b.column(0), **{k: pa.array(x[:, i], pa.float64()) for i, k in enumerate(NAMES)})
 
@@ -96,7 +98,7 @@ def _summed(train: DataFrame, mean: np.ndarray, spread: np.ndarray) -> list[np.n
     def shares():
         def run(batches):
             total, any_ = np.zeros((FOLDS, width, width)), False
-            for b in batches:
+            for b in parts(batches, TOGETHER):
                 fold, y = (b.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
                 z = np.concatenate([features(_table(b, 2), mean, spread), y[:, None]], 1)
                 for f in range(FOLDS):
@@ -164,7 +166,7 @@ def fit(train: DataFrame) -> Fitted | float:
     def histogram():
         def run(batches):
             n, pos = np.zeros(BINS), np.zeros(BINS)
-            for b in batches:
+            for b in parts(batches, TOGETHER):
                 fold, y = (b.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
                 raw = (features(_table(b, 2), mean, spread) @ left)[np.arange(len(y)), fold]
                 at = np.clip(((raw + 0.5) / 2 * BINS).astype(int), 0, BINS - 1)
@@ -194,7 +196,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, may_learn: Column, label_c
 
     def make():
         def run(batches):
-            for b in batches:
+            for b in parts(batches, TOGETHER):
                 x = _table(b, 1)
                 score = np.full(len(x), sent.value) if isinstance(sent.value, float) else sent.value.score(x)
                 yield batch(doc_id=b.column(0), score=pa.array(score, pa.float64()))
