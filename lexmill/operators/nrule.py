@@ -154,10 +154,9 @@ def check_n_rule(tokens: DataFrame, wordlist: DataFrame, n_forms: DataFrame | No
     base = F.when(listed.isNotNull(), X.like_case(bare, listed, all_caps=True)).when(en & F.col("is_stem"), stem)
     sure = F.when(listed.isNotNull(), "high").when(en & F.col("is_stem"), F.when(cap, "low").otherwise("medium"))
     may_ask = (F.coalesce(sure, F.lit("")) != "high") & ~(cap & ~lower.endswith("en"))
-    falls = single.where(drop & ~F.coalesce(spared, F.lit(False))).withColumn("lod_confirmed", may_ask & F.coalesce(F.col("form") != "", F.lit(False)))
-    falls = falls.withColumn("suggestion", F.when(F.col("lod_confirmed"), X.like_case(bare, F.col("form"), all_caps=True)).otherwise(base))
-    falls = falls.withColumn("confidence", F.when(F.col("lod_confirmed"), "high").when(may_ask & F.col("lemma_known") & (sure == "medium"), "low").otherwise(sure))
-    falls = falls.where("suggestion is not null and confidence is not null").withColumn("direction", F.lit("drop-n")).withColumn("rule", F.lit("6.1.1"))
+    confirmed_fall = drop & may_ask & F.coalesce(F.col("form") != "", F.lit(False))
+    fall = F.when(confirmed_fall, X.like_case(bare, F.col("form"), all_caps=True)).otherwise(base)
+    fall_sure = F.when(confirmed_fall, "high").when(may_ask & F.col("lemma_known") & (sure == "medium"), "low").otherwise(sure)
 
     # Missing n (N-06).
     pause = F.col("c.rule") == "6.1.2.4"
@@ -168,19 +167,22 @@ def check_n_rule(tokens: DataFrame, wordlist: DataFrame, n_forms: DataFrame | No
     open_e = lower.rlike("[^e]e$") & (F.length(lower) >= 4) & (~X.capitalised(bare) | pause) & F.col("is_longer")
     confirmed = F.coalesce(F.lower("form") == lower, F.lit(False))
     weak = F.when(confirmed, "high").when(pause & ~X.capitalised(bare) & ~lower.rlike(FRENCH_ENDING), "medium").otherwise("low")
-    stays = single.where(~drop & ~pronoun).withColumn("lod_confirmed", F.lit(False))
-    stays = stays.withColumn("suggestion", F.coalesce(longer, F.when(open_e, F.concat(bare, F.lit("n"))))).withColumn("confidence", F.when(longer.isNotNull(), trust).when(open_e, weak))
-    stays = stays.where("suggestion is not null").withColumn("suggestion", X.like_case(bare, F.col("suggestion"), all_caps=True))
-    stays = stays.withColumn("direction", F.lit("add-n")).withColumn("rule", F.when(pause, "6.1.2.4").otherwise("6.1.1"))
+    stay = X.like_case(bare, F.coalesce(longer, F.when(open_e, F.concat(bare, F.lit("n")))), all_caps=True)
+    stay_sure = F.when(longer.isNotNull(), trust).when(open_e, weak)
 
-    both = falls.unionByName(stays).withColumn("confidence", F.when(F.col("quoted"), "low").otherwise(F.col("confidence")))
-    both = both.select("doc_id", "word", "start", "end", F.concat("prefix", "suggestion").alias("suggestion"), F.coalesce("next_text", F.lit("(end)")).alias("next_word"), "direction", "confidence", "rule", "lod_confirmed")
-    return both.unionByName(compounds(near, wordlist))
+    # Both in one projection: the tokens are gone through once.
+    good = F.when(drop, ~F.coalesce(spared, F.lit(False))).otherwise(~pronoun)
+    found = single.select(
+        "doc_id", "word", "start", "end", "prefix", "quoted", F.coalesce("next_text", F.lit("(end)")).alias("next_word"), good.alias("good"), F.when(drop, fall).otherwise(stay).alias("suggestion"), F.when(drop, fall_sure).otherwise(stay_sure).alias("confidence"),
+        F.when(drop, "drop-n").otherwise("add-n").alias("direction"), F.when(~drop & pause, "6.1.2.4").otherwise("6.1.1").alias("rule"), confirmed_fall.alias("lod_confirmed"),
+    ).where("good and suggestion is not null and confidence is not null")
+    found = found.select("doc_id", "word", "start", "end", F.concat("prefix", "suggestion").alias("suggestion"), "next_word", "direction", F.when(F.col("quoted"), "low").otherwise(F.col("confidence")).alias("confidence"), "rule", "lod_confirmed")
+    return found.unionByName(compounds(tokens, wordlist))
 
 
-def compounds(near: DataFrame, wordlist: DataFrame) -> DataFrame:
+def compounds(tokens: DataFrame, wordlist: DataFrame) -> DataFrame:
     """N-07. The rule between the parts of a word with hyphens."""
-    whole = near.where(F.col("word").contains("-") & ~F.col("word").rlike("^-|-$"))
+    whole = tokens.where("type = 'word'").withColumn("word", X.straight(F.col("text"))).where(F.col("word").contains("-") & ~F.col("word").rlike("^-|-$"))
     parts = F.split("word", "-")
     each = whole.select("doc_id", "start", parts.alias("parts"), F.posexplode(parts).alias("k", "part"))
     each = each.where(F.col("k") < F.size("parts") - 1).withColumn("next", F.col("parts")[F.col("k") + 1])
