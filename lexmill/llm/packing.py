@@ -24,14 +24,14 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import arrow_map, pick
+from .common import arrow_map, parts, pick
 from .token_counts import byte_letters
 from .worker import remembered
 
 #: Remainders that wait at once, and how many of them stay to be combined with later ones.
 POOL, KEEP = 768, 384
 #: Words that a worker remembers, texts whose words are looked up together, and pieces that it returns together.
-REMEMBERED, TOGETHER, PIECES = 500_000, 64, 2000
+REMEMBERED, TOGETHER, PIECES = 400_000, 64, 500
 
 
 def closest(counts: dict[int, int], target: int) -> dict[int, int]:
@@ -196,7 +196,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, capacity: int =
                 rows.clear()
                 return pa.RecordBatch.from_arrays(arrays, names=[c.split()[0] for c in schema.split(", ")])
 
-            for b in batches:
+            for b in parts(batches, 1000):
                 ids_type = b.column(0).type
                 texts = [t or "" for t in b.column(1).to_pylist()]
                 for doc, data in zip(b.column(0).to_pylist(), words.of(texts)):
