@@ -1,19 +1,23 @@
 """Benchmark decontamination: which documents hold a benchmark item, up to edits.
 
-Texts are read as lower-case runs of letters and digits. An item of n words within SHARE edits keeps at least
-(n - 2) - 3 * edits of its word triples, so places of a document where fewer fall on one alignment hold no copy. At every
-other alignment the item-sized window of words is embedded with the item by CGK walks: both strings are read by a
-pointer each that stays or moves on by a random bit for the step and the character read, which maps edit distance to
+Texts are read as lower-case runs of letters and digits, joined by one space. Copies are sought in two ways.
+
+Alignments on which a share of an item's word triples fall are asked first, by embedding: the item-sized window of words
+is embedded with the item by CGK walks: both strings are read by a pointer each that stays or moves on by a random bit for the step and the character read, which maps edit distance to
 Hamming distance. Repeated bit samples of the walks are hashed; windows that agree with the item in any sample go on to an
 exact check: the least edit distance between the item and any substring of the document around the window.
 
 With WALKS walks and TABLES samples of BITS steps each, a window at Hamming share h is met with probability
-1 - (1 - (1 - h) ** BITS) ** (WALKS * TABLES): 0.998 at h = 0.3, above 0.95 at h = 0.4 (about 10 and 20 per cent of edits).
+1 - (1 - (1 - h) ** BITS) ** (WALKS * TABLES): 0.998 at h = 0.3, above 0.95 at h = 0.4.
+
+Whatever that leaves is settled by characters, without loss: a stretch of m characters with at most k = SHARE * m edits keeps
+at least m // q - k of its disjoint q-grams, all within k diagonals of each other (the q-gram lemma). Places of a document that
+hold as many go to the same exact check. A long item is cut into stretches, of which one at least has no more than its share.
 
 Documents are only scanned: items are broadcast a block at a time, each block bounded in bytes.
 
-Edge cases: null and empty texts, and empty items, match nothing; items of fewer than 5 words match as exact word
-sequences only; rows that repeat an id are checked each; items that repeat a text match each; empty tables give an empty
+Edge cases: null and empty texts, and empty items, match nothing; items of fewer than 5
+characters match as exact word sequences only, or anywhere where their script has no spaces; rows that repeat an id are checked each; items that repeat a text match each; empty tables give an empty
 table; null ids stay null; further columns are ignored (or passed through by drop_contaminated).
 """
 
@@ -40,10 +44,18 @@ VOTES, DRIFT = 0.15, 8
 ITEM_BYTES = 32 << 20
 #: Windows that are embedded at once.
 TOGETHER = 2000
+#: Longest q-grams; characters of a stretch of an item; stretches and characters of text that are counted at once; diagonals that are counted together (a power of two).
+GRAM, STRETCH, ROWS, SPAN, BAND = 4, 320, 256, 1 << 15, 16
+#: Characters of texts that are laid end to end.
+LAID = 1 << 20
 
 _BIT = np.uint64(0xD6E8FEB86659FD93)
 
 _WORD = re.compile(r"[^\W_]+")
+#: Scripts that are written without spaces between words.
+_UNSPACED = re.compile(r"[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
+#: What stands between texts; no character.
+_GAP = 0x110000
 
 
 def words_of(text: str) -> list[str]:
@@ -106,6 +118,91 @@ def best_substring(item: str, text: str) -> tuple[int, int]:
     return best, end
 
 
+def code_points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def gram_codes(c: np.ndarray, q: int) -> np.ndarray:
+    """A hash of the q characters from each place on; equal grams have equal ones, so that counts by them are never too low."""
+    h = c[: max(0, len(c) - q + 1)].copy()
+    for k in range(1, q):
+        h *= np.uint32(0x9E3779B1)
+        h += c[k : len(h) + k]
+    h *= np.uint32(0x85EBCA6B)
+    return h ^ (h >> np.uint32(15))
+
+
+class Stretches:
+    """Stretches of items, of one q: which places of a text keep as many of a stretch's disjoint q-grams as the lemma asks for."""
+
+    BUCKETS = 18
+
+    def __init__(self, q: int, rows: list[tuple[int, int, np.ndarray]]):
+        # Item, where the stretch starts in it, and its characters.
+        self.q, self.rows = q, sorted(rows, key=lambda r: len(r[2]))
+        self.size = np.array([len(c) for _, _, c in self.rows], np.int64)
+        self.edits = (SHARE * self.size + 1e-9).astype(np.int64)
+        self.bands = -(-self.edits // BAND) + 1
+        self.codes = [gram_codes(c, q) for _, _, c in self.rows]
+        # Room for a stretch's offsets, in whole bands, before the first place and behind the last.
+        self.room = (int(self.size.max()) // BAND + 1) * BAND
+        self.stride = (2 * self.room + SPAN) // BAND + int(self.bands.max()) + 2
+        # The disjoint grams from each of the first q characters on: the lemma holds for all of these sets.
+        self.tables = []
+        for p in range(q):
+            count = [max(0, (n - p) // q) for n in self.size]
+            code = np.concatenate([c[p::q][:n] for c, n in zip(self.codes, count)])
+            value = np.concatenate([k * self.stride * BAND + self.room - p - q * np.arange(n) for k, n in enumerate(count)])
+            bucket = (code >> np.uint32(32 - self.BUCKETS)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            first = np.searchsorted(bucket[order], np.arange((1 << self.BUCKETS) + 1))
+            self.tables.append((first, value[order], np.array(count) - self.edits))
+        self.spread = [(bands, *np.searchsorted(self.bands, [bands, bands + 1])) for bands in np.unique(self.bands).tolist()]
+
+    def places(self, text: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(row, low, high): diagonals of the text, between which the row keeps enough. The text has room characters of _GAP at both ends."""
+        codes = gram_codes(text, self.q)
+        bucket = codes >> np.uint32(32 - self.BUCKETS)
+        reach, n_rows = self.room + int(self.bands.max()) * BAND, len(self.rows)
+        skip, wide = self.room // BAND, SPAN // BAND
+        for a in range(0, len(text), SPAN):
+            b = bucket[a : a + SPAN + reach]
+            good = None
+            for first, value, need in self.tables:
+                start = first[b]
+                n = first[b + np.uint32(1)] - start
+                at = np.flatnonzero(n)
+                n = n[at]
+                # Postings one after the other: their index in value, and the place each was met at.
+                key = np.repeat(start[at] - (np.cumsum(n) - n), n)
+                key += np.arange(len(key))
+                key = value[key]
+                key += np.repeat(at, n)
+                key >>= BAND.bit_length() - 1
+                total = np.bincount(key, minlength=n_rows * self.stride)[: n_rows * self.stride].reshape(n_rows, self.stride)
+                total = np.cumsum(total, 1, dtype=np.int32)
+                enough = np.concatenate([total[r0:r1, skip + k - 1 : skip + k - 1 + wide] - total[r0:r1, skip - 1 : skip - 1 + wide] >= need[r0:r1, None] for k, r0, r1 in self.spread])
+                good = enough if good is None else good & enough
+                if not good.any():
+                    break
+            for r, b in zip(*(x.tolist() for x in np.nonzero(good))):
+                low, high = a + b * BAND, a + (b + int(self.bands[r])) * BAND
+                if self.holds(codes, r, low, high):
+                    yield r, low, high
+
+    def holds(self, codes: np.ndarray, r: int, low: int, high: int) -> bool:
+        """The lemma once more, for all of the row's overlapping grams, and for the disjoint ones from each start."""
+        own, k, q = self.codes[r], int(self.edits[r]), self.q
+        if low + len(own) > len(codes):
+            return True
+        high = min(high, len(codes) - len(own) + 1)
+        near = np.lib.stride_tricks.sliding_window_view(codes[low : high + len(own) - 1], len(own))
+        if np.count_nonzero((near[:, ::q] == own[::q]).any(0)) < len(own[::q]) - k:
+            return False
+        found = (near == own).any(0)
+        return found.sum() >= len(own) - q * k and all(found[p::q].sum() >= len(found[p::q]) - k for p in range(q))
+
+
 class Items:
     """Items ready to be looked for: their triples and samples."""
 
@@ -125,6 +222,68 @@ class Items:
         self.short = [j for j, (_, ws, _) in enumerate(self.rows) if len(ws) < 5]
         self.need = np.array([max(1, int(np.ceil(VOTES * (len(ws) - 2)))) for _, ws, _ in self.rows], np.int64)
         self.hashes: dict[int, np.ndarray] = {}
+        by_q: dict[int, list[tuple[int, int, np.ndarray]]] = defaultdict(list)
+        self.inside: list[int] = []
+        for j, (_, _, text) in enumerate(self.rows):
+            if len(text) < 5:
+                if _UNSPACED.search(text):
+                    self.inside.append(j)
+                continue
+            c, n = code_points(text), -(-len(text) // STRETCH)
+            cuts = [len(c) * k // n for k in range(n + 1)]
+            for a, b in zip(cuts, cuts[1:]):
+                q = next(q for q in range(GRAM, 0, -1) if (b - a) // q > int(SHARE * (b - a) + 1e-9))
+                by_q[q].append((j, a, c[a:b]))
+        self.stretches = [Stretches(q, rows[a : a + ROWS]) for q, rows in sorted(by_q.items()) for rows in [sorted(rows, key=lambda r: len(r[2]))] for a in range(0, len(rows), ROWS)]
+
+    def by_characters(self, texts: list[str], found: list[dict[int, tuple[int, int, int]]]) -> None:
+        """Adds to found what the normal texts hold: by item (edit distance, first word, words), where that is less than is known."""
+        for j in self.inside:
+            for k, text in enumerate(texts):
+                if j not in found[k] and (at := text.find(self.rows[j][2])) >= 0:
+                    found[k][j] = (0, text.count(" ", 0, at), 1 + self.rows[j][2].count(" "))
+        room = max((s.room for s in self.stretches), default=0)
+        gap = np.full(1, _GAP, np.uint32)
+        first = 0
+        while first < len(texts):
+            # Texts of LAID characters at most (or one longer text), end to end.
+            last, size = first + 1, len(texts[first])
+            while last < len(texts) and size + len(texts[last]) < LAID:
+                size += len(texts[last])
+                last += 1
+            part = texts[first:last]
+            laid = np.concatenate([np.repeat(gap, room), *[x for t in part for x in (code_points(t), gap)], np.repeat(gap, room)])
+            ends = room + np.cumsum([len(t) + 1 for t in part])
+            asked: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
+            for s in self.stretches:
+                for r, low, high in s.places(laid):
+                    j, offset, _ = s.rows[r]
+                    m = len(self.rows[j][2])
+                    edits = int(SHARE * m + 1e-9)
+                    a, b = low - offset - edits, high - offset + m + edits
+                    for k in range(int(np.searchsorted(ends, max(a, room), "right")), len(part)):
+                        start = int(ends[k]) - len(part[k]) - 1
+                        if start >= b:
+                            break
+                        asked[k, j].append((max(0, a - start), min(len(part[k]), b - start)))
+            for (k, j), spans in asked.items():
+                item, text, known = self.rows[j][2], part[k], found[first + k]
+                spans.sort()
+                joined = [list(spans[0])]
+                for a, b in spans[1:]:
+                    if a <= joined[-1][1]:
+                        joined[-1][1] = max(b, joined[-1][1])
+                    else:
+                        joined.append([a, b])
+                for a, b in joined:
+                    if known.get(j, (1,))[0] == 0:
+                        break
+                    distance, end = best_substring(item, text[a:b])
+                    if distance <= SHARE * len(item) and distance < known.get(j, (len(item) + 1,))[0]:
+                        done = a + end
+                        start = done - best_substring(item[::-1], text[a:done][::-1])[1]
+                        known[j] = (distance, text.count(" ", 0, start), 1 + text.count(" ", start, done))
+            first = last
 
     def alignments(self, ids: np.ndarray) -> list[tuple[int, int, int]]:
         """(item, first, last) word starts of a document's alignments that keep enough triples."""
@@ -165,9 +324,10 @@ class Items:
 
     def find(self, texts: list[str]) -> list[list[tuple[int, int, int, int]]]:
         """For each text: (item, edit distance, first word, words) of the items that it holds, each at its best place."""
-        out, asked = [], []
+        out, asked, normal = [], [], []
         for k, text in enumerate(texts):
             words = words_of(text)
+            normal.append(" ".join(words))
             found: dict[int, tuple[int, int, int]] = {}
             ids = np.fromiter(map(self.word.get, words, repeat(-1)), np.int64, len(words))
             for j in self.short:
@@ -193,6 +353,7 @@ class Items:
                     size += len(around[stop]) + 1
                     stop += 1
                 out[k][j] = (distance, a + max(0, stop - n), min(n, stop))
+        self.by_characters(normal, out)
         return [sorted((j, *v) for j, v in found.items()) for found in out]
 
 

@@ -356,6 +356,35 @@ def test_decontamination(spark):
     assert clean.columns == docs.columns and {x["doc_id"] for x in clean.collect()} == {i for i, *_ in rows} - {k for k, _ in got}
 
 
+def test_decontamination_by_characters():
+    from lexmill.llm.decontaminate import Items
+
+    r = random.Random(11)
+    words = ["".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(2, 9))) for _ in range(500)]
+    say = lambda k: " ".join(r.choice(words) for _ in range(k))
+    items = [(j, say(r.randint(15, 50))) for j in range(30)] + [(30, say(400))]
+    known, texts, copied = Items(items), [], []
+    for share in (0.05, 0.1, 0.15, 0.2):
+        for j, item in items:
+            copy = list(item)
+            for _ in range(int(share * len(item))):
+                at = r.randrange(len(copy))
+                copy[at : at + r.choice([0, 1, 1])] = r.choice(["", "x", "y"])
+            texts.append(f"{say(20)} {''.join(copy)} {say(20)}")
+            copied.append(j)
+    for j, item in items:  # one letter of every third word
+        texts.append(" ".join("z" + w[1:] if k % 3 == 1 else w for k, w in enumerate(item.split())))
+        copied.append(j)
+    texts += [say(80), "", "a"]
+    for k, (text, found) in enumerate(zip(texts, known.find(texts))):
+        normal = " ".join(words_of(text))
+        near = {j: best_substring(t, normal)[0] for j, (_, _, t) in enumerate(known.rows) if k < len(copied) and j == copied[k] or k % 9 == 0}
+        want = {j: d for j, d in near.items() if d <= 0.2 * len(items[j][1])}
+        assert {j: d for j, d, *_ in found if j in near} == want
+        if k < 3 * len(items) or 4 * len(items) <= k < len(copied):
+            assert copied[k] in want
+
+
 def test_empty_tables(frame, spark):
     none = frame([])
     labels = spark.createDataFrame([], "doc_id long, quality int")
