@@ -36,10 +36,14 @@ SAMPLE_DOCS = 400
 MOST_CHARS = 20_000
 #: Words that a worker remembers the scores of, and texts whose words are looked up together.
 REMEMBERED, TOGETHER = 250_000, 64
-#: Rejection: above the mean cross-entropy of other languages' texts under the model (or, with one language, this much above its own mean),
-#: and never less than so many times its own texts' spread above their mean, or so much above their largest.
-ALONE, SPREAD, MARGIN = 1.5, 8.0, 0.25
-#: What a text of one symbol may have beyond that; a text of n symbols, this over the root of n.
+#: Rejection: the limit lies this share of the way from the cost of own texts to that of texts of a language left out of fitting (or, with one
+#: language, so much above the mean of its own).
+BETWEEN, ALONE = 0.5, 1.5
+#: Of own texts, and of texts of languages left out, this share may lie beyond the costs that the limit is put between.
+TAIL = 0.01
+#: Calibrating texts are also cut to so many symbols: short ones stray further. Limits are interpolated by the root of the length.
+LENGTHS = (20, 50, 150, 500)
+#: What a text of one symbol may have beyond the limit of the shortest of these, about; less by the root of the length.
 SHORT = 6.0
 
 _WORD = re.compile(r"[^\W\d_]+")
@@ -123,7 +127,18 @@ class Models:
             self.weight.append(self._sorted([m[k][1] for m in by_lang]))
         self.floor = np.float32(np.log(1.0 / 4096))
         self.scale = 20.0
-        self.limit = np.full(len(langs), np.inf)
+        self.limits = np.full((len(langs), len(LENGTHS)), np.inf)
+
+    def limit(self, lang: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """The cross-entropy above which a text of n symbols is none of its language."""
+        at = 1 / np.sqrt(np.maximum(n, 1))
+        known = 1 / np.sqrt(np.array(LENGTHS[::-1]))
+        out = np.full(len(lang), np.inf)
+        for i in range(len(self.langs)):
+            mine = lang == i
+            out[mine] = np.interp(at[mine], known, self.limits[i, ::-1])
+        # Shorter than what was calibrated: more room still.
+        return out + np.maximum(at - known[-1], 0) * SHORT
 
     @staticmethod
     def _sorted(tables: list[dict]) -> tuple[np.ndarray, np.ndarray]:
@@ -210,8 +225,7 @@ class Scorer:
         best = e.argmin(1)
         lowest = e[np.arange(len(e)), best]
         score = np.where(n > 0, 1 / np.exp(-self.models.scale * (e - lowest[:, None])).sum(1), 0.0)
-        # A short text's cross-entropy strays further from its language's.
-        rejected = (n == 0) | (lowest > self.models.limit[best] + SHORT / np.sqrt(np.maximum(n, 1)))
+        rejected = (n == 0) | (lowest > self.models.limit(best, n))
         return [self.models.langs[k] if m else "und" for k, m in zip(best, n)], score, lowest, rejected
 
 
@@ -219,18 +233,34 @@ def fit(sample: dict[str, list[str]]) -> Models:
     """sample: the texts of each language. Every fifth text calibrates."""
     langs = sorted(sample)
     models = Models(langs, [fit_language(Counter(w for k, t in enumerate(sample[x]) if k % 5 or len(sample[x]) < 5 for w in words_of(t))) for x in langs])
-    scorer, rows, truth = Scorer(models), [], []
+    scorer, whole, truth = Scorer(models), [], []
     for i, x in enumerate(langs):
-        e = scorer.entropies([t for k, t in enumerate(sample[x]) if not k % 5])
-        e = e[e[:, -1] > 0][:, :-1]
-        rows.append(e)
-        truth += [i] * len(e)
-    e, own = np.concatenate(rows) if rows else np.zeros((0, 0)), np.array(truth, int)
-    for i in range(len(langs)):
-        mine, foreign = e[own == i, i], e[own != i, i]
-        if len(mine):
-            # What texts of other languages cost on average is what a text of none of them would; a mixed text costs less.
-            models.limit[i] = max(mine.mean() + SPREAD * mine.std(), mine.max() + MARGIN, foreign.mean() if len(foreign) else mine.mean() + ALONE)
+        texts = [t for k, t in enumerate(sample[x]) if not k % 5 and words_of(t)]
+        whole += texts
+        truth += [i] * len(texts)
+    e, own = scorer.entropies(whole)[:, :-1], np.array(truth, int)
+    for at, size in enumerate(LENGTHS):
+        cut = scorer.entropies([t if len(t) <= size else t[: max(size, 1)] for t in whole])
+        # Texts that are shorter tell nothing of this length.
+        fit_ = cut[:, -1] >= 0.6 * size
+        if not fit_.any():
+            continue
+        cost, of = cut[fit_, :-1], own[fit_]
+        others = np.where(np.arange(len(langs)) == of[:, None], np.inf, cost)
+        for i in range(len(langs)):
+            # As each language has its own model, a language is left out by leaving its column out.
+            mine, foreign = cost[of == i, i], others[(of != i) & (others.argmin(1) == i), i]
+            if not len(foreign):
+                foreign = cost[of != i, i]
+            if len(mine):
+                high = np.quantile(mine, 1 - TAIL)
+                low = np.quantile(foreign, TAIL) if len(foreign) else mine.mean() + ALONE / BETWEEN
+                models.limits[i, at] = max(high + BETWEEN * (low - high), high)
+    for limits in models.limits:
+        # Lengths that no text had take the limit of the next shorter (or else longer) one.
+        have = np.flatnonzero(np.isfinite(limits))
+        if len(have):
+            limits[:] = [limits[have[have <= k][-1] if (have <= k).any() else have[0]] for k in range(len(limits))]
     if len(e):
         gap = e - e.min(1, keepdims=True)
         losses = [(-np.log(np.maximum((p := np.exp(-s * gap))[np.arange(len(gap)), own] / p.sum(1), 1e-12)).mean(), s) for s in (1, 2, 4, 8, 16, 32)]

@@ -255,6 +255,20 @@ def test_language_models(spark):
     assert {r["lang_pred"] for r in identify(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_languages_left_out():
+    from lexmill.llm.language_id import Scorer
+
+    r = random.Random(12)
+    letters = {x: r.sample("abcdefghijklmnopqrstuvwxyz", 18) for x in ("aa", "bb", "cc", "dd")}
+    made = {x: sample_language(letters[x], 300, k) for k, x in enumerate(letters)}
+    for x in made:
+        models = fit({y: t[:200] for y, t in made.items() if y != x})
+        for size in (500, 60):
+            own = Scorer(models).judge([t[:size] for y in made if y != x for t in made[y][200:]])[3]
+            foreign = Scorer(models).judge([t[:size] for t in made[x]])[3]
+            assert own.mean() < 0.02 and foreign.mean() > 0.95
+
+
 def test_quality(spark):
     assert pool(np.array([0.1, 0.4, 0.2, 0.9]), np.ones(4)).round(2).tolist() == [0.1, 0.3, 0.3, 0.9]
     good = sample_language("abcdefgh", 150, 5)
