@@ -3,7 +3,7 @@
 The pages of a host are merged into one tree: its nodes are the paths of block elements (tag and class or id names),
 and each has the pages it occurs in, the kinds of children it was given (presentation) and the texts it held (content).
 A node's importance mixes the entropy of its presentations with that of its texts: a text that every page repeats has
-none, one that a single page holds has all. Branches whose best node is below a threshold are removed from every page
+none, one that a single page holds has all. Copies of a page (equal blocks) count as one page. Branches whose best node is below a threshold are removed from every page
 of the host, together with elements that say themselves that they are no content (navigation, scripts, adverts ...).
 A page's own article or main element, where it has one, bounds its text; in it the style tree only judges containers.
 
@@ -174,6 +174,34 @@ def main_text(found: list[tuple[str, bool, str]], low: set[str]) -> str:
     return " ".join(t for p, _, t in found if p not in low)
 
 
+def _pages():
+    """One row per page and kind of page that a task meets: its host, a digest of its blocks, and the blocks as paths and hashes of texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: set[tuple[str, bytes]] = set()
+        for b in batches:
+            out = []
+            for url, page in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                host, digest = host_of(url), xxhash.xxh3_128()
+                paths, texts = [], []
+                for path, _, text in blocks(page or ""):
+                    code = xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) >> 1
+                    digest.update(f"{path}\x00{code}\x00".encode("utf-8", "surrogatepass"))
+                    paths.append(path)
+                    texts.append(code)
+                key = (host, digest.digest())
+                if paths and key not in known:
+                    if len(known) > 100_000:
+                        known.clear()
+                    known.add(key)
+                    out.append((*key, paths, texts))
+            if out:
+                host, code, paths, texts = zip(*out)
+                yield batch(host=pa.array(host, pa.string()), page=pa.array(code, pa.binary()), paths=pa.array(paths, pa.list_(pa.string())), texts=pa.array(texts, pa.list_(pa.int64())))
+
+    return run
+
+
 def _features():
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # how: the pages of a path (0), those with a presentation (1), those with a text (2)
@@ -186,15 +214,11 @@ def _features():
             return r
 
         for b in batches:
-            for url, page in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                host, paths, styles, texts = host_of(url), set(), {}, set()
-                for path, _, text in blocks(page or ""):
-                    paths.add(path)
-                    styles[path] = styles.get(path, 0) + 1
-                    texts.add((path, xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) >> 1))
-                seen.update((host, p, 0, 0) for p in paths)
+            for host, paths, texts in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
+                styles = Counter(paths)
+                seen.update((host, p, 0, 0) for p in styles)
                 seen.update((host, p, 1, n) for p, n in styles.items())
-                seen.update((host, p, 2, t) for p, t in texts)
+                seen.update((host, p, 2, t) for p, t in set(zip(paths, texts)))
                 if len(seen) > 100_000:
                     yield out()
         if seen:
@@ -204,8 +228,9 @@ def _features():
 
 
 def low_branches(pages: DataFrame, work: Work) -> DataFrame:
-    """pages: url, html. Per host with any: host, low (paths whose importance is below LOW)."""
-    counts = arrow_map(pages, _features, "host string, path string, how byte, what long, pages long").groupBy("host", "path", "how", "what").agg(F.sum("pages").alias("c"))
+    """pages: url, html. Per host with any: host, low (paths whose branch has no node of importance LOW or more)."""
+    distinct = arrow_map(pages, _pages, "host string, page binary, paths array<string>, texts array<long>").dropDuplicates(["host", "page"]).select("host", "paths", "texts")
+    counts = arrow_map(distinct, _features, "host string, path string, how byte, what long, pages long").groupBy("host", "path", "how", "what").agg(F.sum("pages").alias("c"))
     log = F.log(F.col("c").cast("double"))
     node = counts.groupBy("host", "path").agg(
         F.sum(F.when(F.col("how") == 0, F.col("c"))).alias("m"),
@@ -216,7 +241,12 @@ def low_branches(pages: DataFrame, work: Work) -> DataFrame:
     presentation = (base - F.col("style") / F.col("m")) / base  # the entropy of the page counts, to the base m
     content = 1 - F.col("text") / base
     importance = F.lit(PRESENTATION) * presentation + F.lit(1 - PRESENTATION) * content
-    low = node.where(F.col("m") >= PAGES).where(importance < LOW)
+    # A node of too few pages judges nothing: it neither condemns nor is condemned, and keeps the branch it is in.
+    judged = node.select("host", "path", F.coalesce((F.col("m") >= PAGES) & (importance < LOW), F.lit(False)).alias("is_low"))
+    names = F.slice(F.split("path", "/"), 2, F.size(F.split("path", "/")))
+    above = F.transform(F.sequence(F.lit(1), F.size(names)), lambda k: F.concat(F.lit("/"), F.array_join(F.slice(names, 1, k), "/")))
+    branch = judged.select("host", "path", "is_low", F.explode(above).alias("branch")).groupBy("host", "branch").agg(F.min("is_low").alias("all_low"))
+    low = branch.where("all_low").select("host", F.col("branch").alias("path"))
     return work.table(low.groupBy("host").agg(F.collect_list("path").alias("low")), "low")
 
 

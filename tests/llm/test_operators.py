@@ -300,6 +300,19 @@ def test_main_text(spark):
     assert got[23]["text"] == "plain text <" and got[24]["text"] == "a b c" and all(r["n_chars"] == len(r["text"]) for r in got.values())
 
 
+def test_copies_of_pages(spark):
+    story = "<body><div class='story'><p>The only story</p><ul><li>One row</ul></div></body>"
+    boxed = "<body><article><h1>{k}</h1><div class='box'>Same box {b}<p>Own {k}</p></div></article></body>"
+    rows = [(k, "http://copies.example", story) for k in range(6)]
+    rows += [(10 + k, "http://mixed.example", boxed.format(k=k, b="")) for k in range(5)] + [(20 + k, "http://mixed.example", story) for k in range(6)]
+    rows += [(30 + k, "http://groups.example", story.replace("only", f"{k % 2}")) for k in range(12)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    got = {r["page_id"]: r["text"] for r in extract_main_text(pages).collect()}
+    assert all(got[k] == "The only story One row" for k in (*range(6), *range(20, 26)))
+    assert all(got[30 + k] == f"The {k % 2} story One row" for k in range(12))
+    assert all(got[10 + k] == f"{k} Same box Own {k}" for k in range(5))  # the box's best descendant is its own on each page
+
+
 def test_vector_search(spark):
     r = np.random.default_rng(3)
     x = r.normal(size=(1200, 8)).round(2)
