@@ -45,34 +45,54 @@ _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _NAME = re.compile(r"[a-z]+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
+_ROOT = re.compile(r"<(?:article|main)\b", re.I)
 _RAW_END = {t: re.compile(rf"</{t}\s*>", re.I) for t in RAW}
 
 
 class Element:
-    __slots__ = ("tag", "path", "noise", "root", "inside")
+    __slots__ = ("tag", "path", "noise", "root", "inside", "hidden")
 
-    def __init__(self, tag: str, path: str, noise: bool, root: bool, inside: bool):
-        self.tag, self.path, self.noise, self.root, self.inside = tag, path, noise, root, inside
+    def __init__(self, tag: str, path: str, noise: bool, root: bool, inside: bool, hidden: bool = False):
+        self.tag, self.path, self.noise, self.root, self.inside, self.hidden = tag, path, noise, root, inside, hidden
+
+
+def _hides(attributes: str) -> bool:
+    said = {k.lower(): next((x for x in v if x), "").lower() for k, *v in _ATTRIBUTE.findall(attributes)}
+    return "hidden" in said or said.get("aria-hidden") == "true" or bool(_HIDDEN.search(said.get("style", "")))
 
 
 def _named(tag: str, attributes: str, within: bool) -> tuple[str, bool]:
-    """An element's name in the style tree, and whether it says that it is no content."""
+    """An element's name in the style tree, and whether it says that it is no content: by its tag, its attributes, or a class or id word made of NAMES alone."""
     noise = tag in NOISE or (tag == "header" and not within)
     if not attributes or attributes.isspace():
         return tag, noise
-    said, names = {}, []
+    said, names, words = {}, [], []
     for key, *values in _ATTRIBUTE.findall(attributes):
         said.setdefault(key.lower(), next((v for v in values if v), ""))
     for key in ("class", "id"):
-        names += _NAME.findall(entities.unescape(said.get(key, "")).lower())
+        for word in entities.unescape(said.get(key, "")).lower().split():
+            parts = _NAME.findall(word)
+            names += parts
+            words += ["-".join(parts)] if not NAMES.issuperset(parts) else parts
     if not noise:
         noise = "hidden" in said or said.get("aria-hidden", "").lower() == "true" or said.get("role", "").lower() in ROLES or bool(_HIDDEN.search(said.get("style", "").lower()))
-        noise = noise or (tag not in ("body", "html", "article", "main") and (not NAMES.isdisjoint(names) or not within and "header" in names)) or (tag == "article" and not {"comment", "comments", "reply", "ad", "ads", "promo", "sponsored", "related"}.isdisjoint(names))
+        noise = noise or (tag not in ("body", "html", "article", "main") and (not NAMES.isdisjoint(words) or not within and "header" in words)) or (tag == "article" and not {"comment", "comments", "reply", "ad", "ads", "promo", "sponsored", "related"}.isdisjoint(words))
     return ".".join([tag, *sorted(set(names))]), noise
 
 
 def blocks(page: str) -> list[tuple[str, bool, str]]:
-    """The blocks of text in page order that no element disowns: (path, whether in an article or main element, text)."""
+    """The blocks of text in page order that no element disowns: (path, whether in an article or main element, text). An element that holds the page's article or main is not disowned."""
+    found = _blocks(page, False)
+    if not any(inside for _, inside, _ in found) and _ROOT.search(page):
+        # All articles are in disowned elements: the page's own, if there is more in them than outside; else only teasers.
+        owned = [b for b in _blocks(page, True) if b[1]]
+        if sum(len(t) for *_, t in owned) > sum(len(t) for *_, t in found):
+            return owned
+    return found
+
+
+def _blocks(page: str, roots: bool) -> list[tuple[str, bool, str]]:
+    """With roots, article and main elements that don't disown themselves are held whatever they are in, unless it is hidden."""
     out, stack, held = [], [Element("", "", False, False, False)], []
 
     def end_block() -> None:
@@ -146,7 +166,9 @@ def blocks(page: str) -> list[tuple[str, bool, str]]:
         end_block()
         up = stack[-1]
         root = tag in ("article", "main")
-        stack.append(Element(tag, f"{up.path}/{name}", up.noise or noise, root, up.inside or (root and not noise)))
+        if roots and root and not noise and up.noise and not any(e.hidden for e in stack):
+            up = Element(up.tag, up.path, False, up.root, up.inside)
+        stack.append(Element(tag, f"{up.path}/{name}", up.noise or noise, root, up.inside or (root and not noise), roots and _hides(attributes)))
     end_block()
     return out
 

@@ -300,6 +300,16 @@ def test_main_text(spark):
     assert got[23]["text"] == "plain text <" and got[24]["text"] == "a b c" and all(r["n_chars"] == len(r["text"]) for r in got.values())
 
 
+def test_layout_wrappers():
+    read = lambda page: main_text(blocks(page), set())
+    for said in ("site no-sidebar", "content has-sidebar", "with-comments", "page has-header", "post-share-wrap", "widget", "header", "sidebar"):
+        assert read(f"<body><div class='{said}'>x<article><p>The story</p><div class='share'>Share</div></article></div></body>") == "The story"
+    assert read("<body><form><main><p>The story</p></main></form></body>") == "The story"
+    assert read("<body><div hidden><article>No</article></div><p>Yes</p></body>") == "Yes"
+    assert read("<body><div>The longer story</div><div class='related'><article>Teaser</article></div></body>") == "The longer story"
+    assert read("<body><p>Text</p><div id='cookie-notice'>Cookies</div><div class='comment-12'>Me too</div></body>") == "Text"
+
+
 def test_copies_of_pages(spark):
     story = "<body><div class='story'><p>The only story</p><ul><li>One row</ul></div></body>"
     boxed = "<body><article><h1>{k}</h1><div class='box'>Same box {b}<p>Own {k}</p></div></article></body>"
