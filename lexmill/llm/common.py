@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,11 +64,22 @@ def arrow_map(df: DataFrame, make: Callable[[], Callable[[Iterator[pa.RecordBatc
     return df.mapInArrow(run, schema)
 
 
-def parts(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of so many at most: what is made of a batch in Python then stays small."""
+#: Bytes of texts that a worker turns into Python strings at once.
+PART_BYTES = 4 << 20
+
+
+def parts(batches: Iterator[pa.RecordBatch], rows: int, text: int | None = None) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of so many at most, and of PART_BYTES in the text column of this index (a longer text alone): what is made of a batch in Python then stays small."""
     for b in batches:
-        for at in range(0, b.num_rows, rows):
-            yield b.slice(at, rows)
+        at = 0
+        size = None if text is None or not b.num_rows else np.cumsum(pc.fill_null(pc.binary_length(b.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        while at < b.num_rows:
+            end = min(at + rows, b.num_rows)
+            if size is not None:
+                before = int(size[at - 1]) if at else 0
+                end = max(at + 1, min(end, int(np.searchsorted(size, before + PART_BYTES, "right"))))
+            yield b.slice(at, end - at)
+            at = end
 
 
 def batch(**columns) -> pa.RecordBatch:

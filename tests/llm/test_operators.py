@@ -16,7 +16,7 @@ public_tokenizers = pytest.importorskip("public_tokenizers")
 from lexmill.llm import near_dup as N  # noqa: E402
 from lexmill.llm.common import Work  # noqa: E402
 from lexmill.llm.components import components  # noqa: E402
-from lexmill.llm.decontaminate import best_substring, contaminated, drop_contaminated, words_of  # noqa: E402
+from lexmill.llm.decontaminate import best_substring, contaminated, drop_contaminated, normal  # noqa: E402
 from lexmill.llm.html_text import blocks, extract_main_text, main_text  # noqa: E402
 from lexmill.llm.language_id import fit, identify, keep_identified  # noqa: E402
 from lexmill.llm.packing import Packer, WordIds, closest, pack_documents  # noqa: E402
@@ -387,8 +387,8 @@ def test_decontamination(spark):
     assert all(k is None or k % 3 == 0 or k == 72 for k, _ in got)
     for (k, j), x in got.items():
         text = next(t for i, t, *_ in rows if i == k)
-        item = " ".join(words_of(dict(items)[j]))
-        assert x["distance"] == best_substring(item, " ".join(words_of(text)))[0] <= 0.2 * len(item)
+        item = normal(dict(items)[j])
+        assert x["distance"] == best_substring(item, normal(text))[0] <= 0.2 * len(item)
     clean = drop_contaminated(docs, bench)
     assert clean.columns == docs.columns and {x["doc_id"] for x in clean.collect()} == {i for i, *_ in rows} - {k for k, _ in got}
 
@@ -414,14 +414,44 @@ def test_decontamination_by_characters():
         copied.append(j)
     texts += [say(80), "", "a"]
     for k, (text, found) in enumerate(zip(texts, known.find(texts))):
-        normal = " ".join(words_of(text))
-        near = {j: best_substring(t, normal)[0] for j, (_, _, t) in enumerate(known.rows) if k < len(copied) and j == copied[k] or k % 9 == 0}
+        near = {j: best_substring(t, normal(text))[0] for j, (_, t) in enumerate(known.rows) if k < len(copied) and j == copied[k] or k % 9 == 0}
         want = {j: d for j, d in near.items() if d <= 0.2 * len(items[j][1])}
         assert {j: d for j, d, *_ in found if j in near} == want
         if k < 3 * len(items) or 4 * len(items) <= k < len(copied):
             assert copied[k] in want
 
 
+@pytest.mark.parametrize("every", [1, 2, 3])
+def test_decontamination_with_a_letter_changed_in_words(every):
+    """Recall against brute force where words hardly survive: one letter changed in every word, every second, every third."""
+    from lexmill.llm.decontaminate import Items
+
+    r = random.Random(every)
+    parts_ = ["".join(r.choice("bcdfghlmnprst") + r.choice("aeiou") for _ in range(r.randint(1, 2))) for _ in range(60)]
+    word = lambda: "".join(r.choice(parts_) for _ in range(r.randint(1, 3)))
+    items = [(j, " ".join(word() for _ in range(30))) for j in range(100)]
+    known, texts = Items(items), []
+    for _, item in items:
+        words = item.split()
+        for k in range(0, len(words), every):
+            at = r.randrange(len(words[k]))
+            words[k] = words[k][:at] + r.choice("vwxyz") + words[k][at + 1 :]
+        texts.append(" ".join([*(word() for _ in range(40)), *words, *(word() for _ in range(40))]))
+    found = [{j: d for j, d, *_ in f} for f in known.find(texts)]
+    want = [best_substring(item, text)[0] for (_, item), text in zip(items, texts)]
+    near = [j for j, d in enumerate(want) if d <= 0.2 * len(items[j][1])]
+    assert len(near) >= 95 and sum(found[j].get(j) == want[j] for j in near) >= (0.93 if every == 1 else 0.99) * len(near)
+    assert all(d <= 0.2 * len(items[i][1]) and d == best_substring(items[i][1], texts[k])[0] for k, f in enumerate(found) for i, d in f.items())
+
+
+def test_short_unspaced_and_unnamed_items():
+    from lexmill.llm.decontaminate import Items
+
+    known = Items([(1, "red old cat house"), (2, "日本語の文章です東京"), (None, "the quick brown fox jumps over"), (3, "ab"), (4, "東京")])
+    got = [{known.rows[j][0]: d for j, d, *_ in f} for f in known.find(["a rd old cat house", "これは日本語の文章です東京タワー", "xx the quick brown fox jumps over y", "cab ab", "cabs", ""])]
+    assert got == [{1: 1}, {2: 0, 4: 0}, {None: 0}, {3: 0}, {}, {}]
+
+
 def test_empty_tables(frame, spark):
     none = frame([])
     labels = spark.createDataFrame([], "doc_id long, quality int")
