@@ -1,22 +1,25 @@
-"""Finds every window of L symbols that also starts earlier, without sorting all windows.
+"""What byte and word level repeat removal share: dealing out places by content, and comparing what is removed with its source.
 
-Buckets are named by content: the bucket of a place at depth 2d is made of its bucket at depth d and of that at
-the place d further on, so refining a bucket needs the names of later places only, and names agree across machines.
+Names are 64-bit hashes of content: a place's name at depth 2d is made of its name at depth d and of that at the place d further on, so
+that all machines agree on names without ranks. Equal content always has equal names; whether equal names meant equal content is verified.
 
 1. Of each window, its rarest-looking m-gram (the one with the smallest name) is its minimiser. A maximal run of
    windows with one minimiser is a span; only spans are dealt out, by the minimiser: about 2 for every L - m + 2
    windows. Equal windows have equal minimisers, so a window's copies are all in one minimiser's bucket.
 2. A bucket with a single span holds no repeat. Equal spans (first and last window have equal names, and so all
    between) are repeats but for the first. First spans of a bucket with several spans stay open.
-3. The windows of open spans are dealt out by their names at depth L; all but the first of each are repeats.
+3. The windows of open spans are for the two operators to settle (refined buckets, or the edges of a graph).
+4. Every removed stretch knows where the stretch it repeats stands. Touching ones with the same source are one. The texts of both sides are
+   read at their coordinates, and their SHA-256 digests compared. If any differ, all is done again with names made from another seed.
 
-A worker first meets its own repeats: of equal spans, or windows, it sends on the earliest only, and a minimiser
-with several spans is sent on by span; so no key has more rows than there are flushes of workers, however often
+A worker first meets its own repeats: of equal spans, or windows, it sends on the earliest only (the others are stretches that repeat that
+one), and a minimiser with several spans is sent on by span; so no key has more rows than there are flushes of workers, however often
 its text occurs.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -24,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Work, arrow_map, batch, mixed, signed
+from .common import Work, arrow_map, batch, mixed, parts, seeded, signed
 
 #: Low bits of a key that hold a position: places are named in blocks of fewer than 2 ** PLACE_BITS.
 PLACE_BITS = 21
@@ -48,14 +51,23 @@ def refined(name: np.ndarray, offset: int) -> np.ndarray:
 
 
 class Kind:
-    """How texts become symbols: window and m-gram in symbols, the depth of the first names, and the functions for both."""
+    """How texts become symbols: window and m-gram in symbols, the depth of the first names, the functions for both, and the source of a stretch as bytes."""
 
-    def __init__(self, window: int, gram: int, depth: int, split: Callable, first: Callable):
-        self.window, self.gram, self.depth, self.split, self.first = window, gram, depth, split, first
+    def __init__(self, window: int, gram: int, depth: int, split: Callable, first: Callable, source: Callable, seed: int = 0, bits: int = 64):
+        self.window, self.gram, self.depth, self.split, self.first, self.source = window, gram, depth, split, first, source
+        #: Names are made from the seed. bits: what is left of a first name (tests make collisions by it).
+        self.seed, self.mask = seed, np.uint64(2**bits - 1)
+
+    def next(self) -> Kind:
+        """The same with other names."""
+        return Kind(self.window, self.gram, self.depth, self.split, self.first, self.source, self.seed + 1)
 
     def names(self, symbols, start: int = 0, stop: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """The names of all m-grams and of all windows of symbols[start:stop]."""
         name, depth = self.first(symbols, start, stop), self.depth
+        if self.seed:
+            name = mixed(name ^ seeded(1, self.seed)[0])
+        name = name & self.mask
         gram = name
         while depth * 2 <= self.window:
             name, depth = refined(name, depth), depth * 2
@@ -74,9 +86,9 @@ def _lowest(key: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(key[: len(key) - (width - have)], key[width - have :]) if have < width else key
 
 
-def spans(kind: Kind, symbols) -> list[tuple[np.ndarray, ...]]:
+def spans(kind: Kind, symbols) -> Iterator[tuple[np.ndarray, ...]]:
     """(minimiser, span name, start, windows) arrays, a block of the text at a time."""
-    out, n = [], len(symbols) - kind.window + 1
+    n = len(symbols) - kind.window + 1
     mask = np.uint64((1 << PLACE_BITS) - 1)
     for a in range(0, n, BLOCK):
         m = min(BLOCK, n - a)
@@ -87,17 +99,16 @@ def spans(kind: Kind, symbols) -> list[tuple[np.ndarray, ...]]:
         start = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
         count = np.diff(np.concatenate([start, [m]]))
         name = mixed(whole[start] * _C1 ^ mixed(whole[start + count - 1] + count.astype(np.uint64)))
-        out.append((gram[at[start]], name, start + a, count))
-    return out
+        yield gram[at[start]], name, start + a, count
 
 
-def _later(name: np.ndarray, doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows by name, then as they stand (doc, at ascending): the order, and which ordered rows are elsewhere than the first of their name."""
+def _later(name: np.ndarray, doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows by name, then as they stand (doc, at ascending): the order, which ordered rows are elsewhere than the first of their name, and that first one."""
     order = np.argsort(name, kind="stable")
     n, d, a = name[order], doc[order], at[order]
     new = np.concatenate([[True], n[1:] != n[:-1]]) if len(n) else np.zeros(0, bool)
     head = np.maximum.accumulate(np.where(new, np.arange(len(n)), 0))
-    return order, (d != d[head]) | (a != a[head])
+    return order, (d != d[head]) | (a != a[head]), order[head]
 
 
 def _rows(**columns) -> pa.RecordBatch:
@@ -108,7 +119,6 @@ def _runs(doc: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndar
     """Touching or overlapping stretches of a document as one; the input stands by doc and start."""
     if not len(doc):
         return doc, start, stop
-    most = np.empty_like(stop)
     bounds = np.concatenate([[0], np.flatnonzero(doc[1:] != doc[:-1]) + 1, [len(doc)]])
     shift = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds)) * (int(stop.max()) + 1)
     most = np.maximum.accumulate(stop + shift) - shift
@@ -117,10 +127,32 @@ def _runs(doc: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndar
     return doc[first], start[first], most[np.concatenate([first[1:] - 1, [len(doc) - 1]])]
 
 
+def compacted(doc: np.ndarray, start: np.ndarray, stop: np.ndarray, first_doc: np.ndarray, first_start: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Touching or overlapping stretches that repeat one another's continuation (the same document, equally far off) as one."""
+    if not len(doc):
+        return doc, start, stop, first_doc, first_start
+    off = first_start - start
+    order = np.lexsort((start, off, first_doc, doc))
+    doc, start, stop, first_doc, off = doc[order], start[order], stop[order], first_doc[order], off[order]
+    # Stretches of one source stand together: number the sources, and join within a number.
+    path = np.cumsum(_heads(doc, first_doc, off)) - 1
+    size = int(stop.max()) + 1
+    p, a, z = _runs(path, start, stop)
+    one = np.searchsorted(path * size + start, p * size + a)
+    return doc[one], a, z, first_doc[one], a + off[one]
+
+
 _SENT = "k long, name long, doc long, start long, count int, how byte"
 # how a row was sent: as a repeat already known, by its minimiser, by its own name, or to tell that a minimiser has several spans.
 KNOWN, BY_GRAM, BY_NAME, TOLD = range(4)
-_FOUND = "doc long, start long, stop long, open boolean"
+#: A stretch of a document; where the stretch that it repeats is, or open.
+_FOUND = "doc long, start long, stop long, first_doc long, first_start long, open boolean"
+FOUND = "doc long, start long, stop long, first_doc long, first_start long"
+
+
+def _salt(doc: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """A known row only passes through: its key spreads it, and hides the place of its first occurrence."""
+    return mixed(doc.astype(np.uint64) ^ mixed(start.astype(np.uint64)))
 
 
 def _send_spans(kind: Kind):
@@ -129,11 +161,11 @@ def _send_spans(kind: Kind):
             held.sort(key=lambda x: x[0])
             doc = np.repeat(np.array([x[0] for x in held], np.int64), [len(x[1][2]) for x in held])
             gram, name, start, count = (np.concatenate([x[1][k] for x in held]) for k in range(4))
-            order, later = _later(name, doc, start)
-            known = np.sort(order[later])
-            d, a, z = _runs(doc[known], start[known], start[known] + count[known] - 1 + kind.window)
+            order, later, head = _later(name, doc, start)
+            known, of = order[later], head[later]
+            d, a, z, fd, fs = compacted(doc[known], start[known], start[known] + count[known] - 1 + kind.window, doc[of], start[of])
             if len(d):
-                yield _rows(k=mixed(d.astype(np.uint64) ^ mixed(a.astype(np.uint64))), name=np.zeros(len(d), np.int64), doc=d, start=a, count=(z - a - kind.window + 1).astype(np.int32), how=np.full(len(d), KNOWN, np.int8))
+                yield _rows(k=_salt(d, a) ^ fs.astype(np.uint64), name=fd, doc=d, start=a, count=(z - a - kind.window + 1).astype(np.int32), how=np.full(len(d), KNOWN, np.int8))
             keep = order[~later]
             name_k = name[keep]
             new = np.concatenate([[True], name_k[1:] != name_k[:-1]])
@@ -147,7 +179,7 @@ def _send_spans(kind: Kind):
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held, n = [], 0
-            for b in batches:
+            for b in parts(batches, 2000, 1):
                 for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                     symbols = kind.split(text or "")
                     if len(symbols) < kind.window:
@@ -155,9 +187,9 @@ def _send_spans(kind: Kind):
                     for part in spans(kind, symbols):
                         held.append((doc, part))
                         n += len(part[2])
-                    if n >= FLUSH:
-                        yield from flush(held)
-                        held, n = [], 0
+                        if n >= FLUSH:
+                            yield from flush(held)
+                            held, n = [], 0
             if held:
                 yield from flush(held)
 
@@ -212,104 +244,141 @@ def _judge_spans(kind: Kind):
                 head = np.maximum.accumulate(np.where(new_name, np.arange(len(k)), 0))
                 later = real & ((doc != doc[head]) | (start != start[head]))
                 open_ = real & ~later & (several[group] | (how == BY_NAME))
+                first_doc = np.where(known, name, doc[head])
+                first_start = np.where(known, (_salt(doc, start) ^ k.astype(np.uint64)).view(np.int64), start[head])
                 out = known | later | open_
                 if out.any():
-                    yield _rows(doc=doc[out], start=start[out], stop=stop[out], open=open_[out])
+                    yield _rows(doc=doc[out], start=start[out], stop=stop[out], first_doc=first_doc[out], first_start=first_start[out], open=open_[out])
 
         return run
 
     return make
 
 
-_WINDOWS = "k long, doc long, start long, known boolean"
+def open_windows(kind: Kind, batches: Iterator[pa.RecordBatch], name: Callable | None = None) -> Iterator[tuple[np.ndarray, ...]]:
+    """Of batches (doc, text, where): flushes of (doc, start, *names) of all windows in open stretches, by doc and start. name(symbols, start, stop): names of the windows that start there."""
+    name = name or (lambda symbols, start, stop: (kind.names(symbols, start, stop + kind.window - 1)[1],))
+    held, n = [], 0
+    for b in parts(batches, 500, 1):
+        for doc, text, where in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
+            symbols = kind.split(text or "")
+            w = where.values
+            begin, end = w.field(0).to_numpy(), w.field(1).to_numpy() - kind.window + 1
+            order = np.argsort(begin, kind="stable")
+            for a, z in zip(begin[order].tolist(), np.minimum(end[order], len(symbols) - kind.window + 1).tolist()):
+                for x in range(a, z, BLOCK):
+                    y = min(z, x + BLOCK)
+                    held.append((doc, x, *name(symbols, x, y)))
+                    n += y - x
+                    if n >= FLUSH:
+                        yield _flushed(held)
+                        held, n = [], 0
+    if held:
+        yield _flushed(held)
 
 
-def _send_windows(kind: Kind):
-    def make():
-        def flush(held: list) -> Iterator[pa.RecordBatch]:
-            held.sort(key=lambda x: x[0])
-            doc = np.repeat(np.array([x[0] for x in held], np.int64), [len(x[1]) for x in held])
-            name, start = (np.concatenate([x[k] for x in held]) for k in (1, 2))
-            order, later = _later(name, doc, start)
-            known, keep = order[later], order[~later]
-            yield _rows(
-                k=np.concatenate([mixed(doc[known].astype(np.uint64) + mixed(start[known].astype(np.uint64))), name[keep]]),
-                doc=np.concatenate([doc[known], doc[keep]]),
-                start=np.concatenate([start[known], start[keep]]),
-                known=np.concatenate([np.ones(len(known), bool), np.zeros(len(keep), bool)]),
-            )
+def _flushed(held: list) -> tuple[np.ndarray, ...]:
+    held.sort(key=lambda x: x[:2])
+    doc = np.repeat(np.array([x[0] for x in held], np.int64), [len(x[2]) for x in held])
+    return doc, np.concatenate([np.arange(x[1], x[1] + len(x[2])) for x in held]), *(np.concatenate(x) for x in list(zip(*held))[2:])
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            held, n = [], 0
-            for b in batches:
-                for doc, text, where in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
-                    symbols = kind.split(text or "")
-                    w = where.values
-                    begin, end = w.field(0).to_numpy(), w.field(1).to_numpy() - kind.window + 1
-                    order = np.argsort(begin, kind="stable")
-                    for a, z in zip(begin[order].tolist(), np.minimum(end[order], len(symbols) - kind.window + 1).tolist()):
-                        if z > a:
-                            held.append((doc, kind.names(symbols, a, z + kind.window - 1)[1], np.arange(a, z)))
-                            n += z - a
-                    if n >= FLUSH:
-                        yield from flush(held)
-                        held, n = [], 0
-            if held:
-                yield from flush(held)
 
-        return run
+def listed(df: DataFrame, *columns: str) -> DataFrame:
+    return df.groupBy("doc").agg(F.collect_list(F.struct(*columns)).alias("where"))
 
-    return make
 
+def keyed(rows: DataFrame, work: Work) -> DataFrame:
+    """rows (doc_id, text) with doc: a number for each document, in the order of ids (nulls last). Rows that repeat an id and its text are one document; an id with several texts stands for
+    as many, in the order of their hashes. Without such ids, and without nulls, numbers are the ids."""
+    kinds = rows.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"))
+    odd = kinds.groupBy("doc_id").agg(F.min("h").alias("low"), F.max("h").alias("high")).where("doc_id is null or low <> high").limit(1).count()
+    if not odd:
+        return rows.withColumn("doc", F.col("doc_id"))
+    order = kinds.distinct().orderBy(F.col("doc_id").asc_nulls_last(), "h")
+    order = work.table(order.select(F.col("doc_id").alias("id"), F.col("h").alias("kind"), F.monotonically_increasing_id().alias("doc")), "keys")
+    here = rows.withColumn("h", F.xxhash64(F.coalesce("text", F.lit(""))))
+    return here.join(order, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("h") == F.col("kind"))).select("doc_id", "text", "doc")
 
-def _judge_windows(kind: Kind):
-    def make():
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for g in _groups(batches):
-                k, doc, start, known = g["k"], g["doc"], g["start"], g["known"]
-                new = _heads(k)
-                head = np.maximum.accumulate(np.where(new, np.arange(len(k)), 0))
-                out = known | (doc != doc[head]) | (start != start[head])
-                if out.any():
-                    order = np.lexsort((start[out], doc[out]))
-                    d, a, z = _runs(doc[out][order], start[out][order], start[out][order] + kind.window)
-                    yield _rows(doc=d, start=a, stop=z, open=np.zeros(len(d), bool))
 
-        return run
+def spans_met(kind: Kind, rows: DataFrame, work: Work, name: str) -> DataFrame:
+    """rows: doc, text. The table of stretches that repeat another one, and of those left open."""
+    sent = arrow_map(rows.select("doc", "text"), _send_spans(kind), _SENT)
+    return work.table(arrow_map(sent.repartition("k").sortWithinPartitions("k", "name", "doc", "start", "count"), _judge_spans(kind), _FOUND), name)
 
-    return make
+
+def opened(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """doc, text and where (the open stretches) of documents that have any."""
+    open_ = listed(found.where("open"), "start", "stop").withColumnRenamed("doc", "d")
+    return rows.select("doc", "text").join(open_, F.col("doc") == F.col("d")).select("doc", "text", "where")
 
 
-def repeated(kind: Kind, rows: DataFrame, work: Work) -> DataFrame:
-    """rows: doc_id long, text. Per document with repeats: doc, where (an array of stretches start, stop, in symbols, that may overlap)."""
-    whole = rows.where(F.col("doc_id").isNotNull())
-    sent = arrow_map(whole, _send_spans(kind), _SENT)
-    found = work.table(arrow_map(sent.repartition("k").sortWithinPartitions("k", "name", "doc", "start", "count"), _judge_spans(kind), _FOUND), "found")
-    listed = lambda df: df.groupBy("doc").agg(F.collect_list(F.struct("start", "stop")).alias("where"))
-    open_ = listed(found.where("open"))
-    windows = arrow_map(whole.join(open_, F.col("doc_id") == F.col("doc")).select("doc", "text", "where"), _send_windows(kind), _WINDOWS)
-    more = arrow_map(windows.repartition("k").sortWithinPartitions("k", "doc", "start"), _judge_windows(kind), _FOUND)
-    return listed(found.where("not open").unionByName(work.table(more, "more")))
+def _compact():
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made = []
+            for doc, where in zip(b.column(0).to_pylist(), b.column(1)):
+                start, stop, first_doc, first_start = (where.values.field(k).to_numpy() for k in range(4))
+                made.append(compacted(np.full(len(start), doc, np.int64), start, stop, first_doc, first_start))
+            if made:
+                yield _rows(**dict(zip(("doc", "start", "stop", "first_doc", "first_start"), map(np.concatenate, zip(*made)))))
 
+    return run
 
-def finished(kind: Kind, rows: DataFrame, where: DataFrame, finish: Callable, schema: str) -> DataFrame:
-    """rows and, where a document has any, its stretches, given to finish(doc_ids, texts, [merged stretches as (n, 2) arrays])."""
+
+def finished(kind: Kind, rows: DataFrame, repeats: DataFrame, work: Work, finish: Callable, schema: str, name: str) -> DataFrame | None:
+    """rows (doc_id, text, doc) given to finish(doc_ids, texts, [merged stretches to remove as (n, 2) arrays]), as a table. Every stretch is compared with its source, by the digests
+    of both at their coordinates; None if one differs."""
+    paths = work.table(arrow_map(listed(repeats, "start", "stop", "first_doc", "first_start"), _compact, FOUND), f"{name}-paths")
+    sides = paths.select("doc", "start", "stop", F.lit(True).alias("cut")).union(paths.select("first_doc", "first_start", F.col("first_start") + F.col("stop") - F.col("start"), F.lit(False)))
+    asked = listed(sides.groupBy("doc", "start", "stop").agg(F.max("cut").alias("cut")), "start", "stop", "cut").withColumnRenamed("doc", "d")
+    faced = rows.join(asked, F.col("doc") == F.col("d"), "left").select("doc_id", "text", "doc", "where")
 
     def make():
+        said = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64()), ("digest", pa.binary())]))
+        none = np.zeros((0, 2), np.int64)
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            none = np.zeros((0, 2), np.int64)
-            for b in batches:
-                stretches = []
-                for w in b.column(2):
+            for b in parts(batches, 500, 1):
+                stretches, told = [], []
+                texts = [t or "" for t in b.column(1).to_pylist()]
+                for text, w in zip(texts, b.column(3)):
                     if not w.is_valid:
                         stretches.append(none)
+                        told.append([])
                         continue
-                    a, z = w.values.field(0).to_numpy(), w.values.field(1).to_numpy()
-                    order = np.argsort(a, kind="stable")
-                    _, a, z = _runs(np.zeros(len(a), np.int64), a[order], z[order])
+                    start, stop = (w.values.field(k).to_numpy() for k in (0, 1))
+                    cut = w.values.field(2).to_numpy(zero_copy_only=False)
+                    source = kind.source(text)
+                    told.append([{"start": a, "stop": z, "digest": hashlib.sha256(source(a, z)).digest()} for a, z in zip(start.tolist(), stop.tolist())])
+                    start, stop = start[cut], stop[cut]
+                    order = np.argsort(start, kind="stable")
+                    _, a, z = _runs(np.zeros(len(order), np.int64), start[order], stop[order])
                     stretches.append(np.stack([a, z], 1))
-                yield finish(b.column(0), [t or "" for t in b.column(1).to_pylist()], stretches)
+                done = finish(b.column(0), texts, stretches)
+                yield pa.RecordBatch.from_arrays([*done.columns, b.column(2), pa.array(told, said)], names=[*done.schema.names, "doc", "told"])
 
         return run
 
-    return arrow_map(rows.join(where, F.col("doc_id") == F.col("doc"), "left").select("doc_id", "text", "where"), make, schema)
+    out = work.table(arrow_map(faced, make, f"{schema}, doc long, told array<struct<start: long, stop: long, digest: binary>>"), f"{name}-out")
+    told = out.select("doc", F.explode("told").alias("t")).select("doc", "t.*").distinct()
+    one = told.select(F.col("doc").alias("d1"), F.col("start").alias("s1"), F.col("stop").alias("z1"), F.col("digest").alias("g1"))
+    two = told.select(F.col("doc").alias("d2"), F.col("start").alias("s2"), F.col("stop").alias("z2"), F.col("digest").alias("g2"))
+    both = paths.join(one, (F.col("doc") == F.col("d1")) & (F.col("start") == F.col("s1")) & (F.col("stop") == F.col("z1")), "left")
+    both = both.join(two, (F.col("first_doc") == F.col("d2")) & (F.col("first_start") == F.col("s2")) & (F.col("first_start") + F.col("stop") - F.col("start") == F.col("z2")), "left")
+    if both.where(~F.col("g1").eqNullSafe(F.col("g2")) | F.col("g1").isNull()).limit(1).count():
+        return None
+    return out.drop("doc", "told")
+
+
+def removed(kind: Kind, rows: DataFrame, work: Work, settle: Callable, finish: Callable, schema: str) -> DataFrame:
+    """rows: doc_id, text. What finish makes of each, without the windows that also start earlier. settle(kind, documents with open stretches, work, name) gives the repeats among open windows (as FOUND).
+    Names that stood for different contents show when stretches are compared with their sources: then all is done again with other names."""
+    rows = keyed(rows, work)
+    while True:
+        name = f"seed{kind.seed}"
+        found = spans_met(kind, rows, work, f"{name}-found")
+        more = settle(kind, opened(rows, found), work, name)
+        out = finished(kind, rows, found.where("not open").select("doc", "start", "stop", "first_doc", "first_start").union(more), work, finish, schema, name)
+        if out is not None:
+            return out
+        kind = kind.next()

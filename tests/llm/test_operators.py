@@ -113,6 +113,30 @@ def test_repeats_across_flushes(clashing, monkeypatch):
     test_repeated_words(clashing, 20)
 
 
+@pytest.mark.parametrize("bits", [0, 2])
+def test_repeats_with_colliding_names(clashing, bits):
+    """Names that stand for several contents are found out by comparing sources, and made anew."""
+    rows = corpus(11, 40)
+    want = covered(sorted({i: tuple((t or "").encode().split()) for i, t in rows}.items()), 20)
+    assert {r["doc_id"]: r["n_removed"] for r in remove_repeated_words(clashing(rows), bits=bits).collect()} == {i: w.sum() for i, w in want.items()}
+    want = covered(sorted({i: (t or "").encode() for i, t in rows}.items()), 100)
+    assert {r["doc_id"]: r["n_removed"] for r in remove_repeated_bytes(clashing(rows), bits=bits).collect()} == {i: w.sum() for i, w in want.items()}
+
+
+def test_repeats_with_null_and_shared_ids(frame):
+    rows = corpus(12, 40)
+    long = next(t for _, t in rows if t and len(t.split()) > 60)
+    rows += [(3, long + " and more"), (None, long), (None, "a b c"), (None, long), (7, rows[20][1]), (7, None)]
+    odd = frame(rows).selectExpr("doc_id", "text", "xxhash64(coalesce(text, '')) h").collect()
+    order = sorted({(r["doc_id"] is None, r["doc_id"] or 0, r["h"]): r["text"] or "" for r in odd}.items())
+    want = covered([(k, tuple(t.encode().split())) for k, t in order], 20)
+    got = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["n_words"], r["n_removed"]) for r in remove_repeated_words(frame(rows)).collect())
+    assert got == sorted((r["doc_id"] is None, r["doc_id"] or 0, len((r["text"] or "").split()), int(want[r["doc_id"] is None, r["doc_id"] or 0, r["h"]].sum())) for r in odd)
+    want = covered([(k, t.encode()) for k, t in order], 100)
+    got = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["n_bytes"], r["n_removed"]) for r in remove_repeated_bytes(frame(rows)).collect())
+    assert got == sorted((r["doc_id"] is None, r["doc_id"] or 0, len((r["text"] or "").encode()), int(want[r["doc_id"] is None, r["doc_id"] or 0, r["h"]].sum())) for r in odd)
+
+
 @pytest.mark.parametrize("size", [4, 5])
 def test_near_duplicates(clashing, size):
     rows = corpus(5, 160)
