@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import tempfile
+import contextlib
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -25,15 +26,9 @@ def text_or_empty(name: str = "text") -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a local one only where none is set."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    have = spark.sparkContext.getCheckpointDir()
-    if not have:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lexmill-"))
-        have = spark.sparkContext.getCheckpointDir()
-    return have.rstrip("/")
+    """The folder that the cluster names in spark.checkpoint.dir; where none is set, one in the warehouse, which is shared too."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return (named or f"{spark.conf.get('spark.sql.warehouse.dir')}/_lexmill_work").rstrip("/")
 
 
 class Work:
@@ -41,17 +36,31 @@ class Work:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+        self.names: list[str] = []
 
-    def table(self, df: DataFrame, name: str) -> DataFrame:
+    def table(self, df: DataFrame, name: str, scan: bool = False) -> DataFrame:
+        """df, written and read again. scan: df comes straight from a scan, whose tasks write a file each; tasks after a shuffle are put together by four, or to four a core if that is more, so that small tables aren't made of many tiny files."""
         path = f"{self.root}/{name}"
+        self.names.append(name)
+        if not scan:
+            df = df.coalesce(max(4 * self.spark.sparkContext.defaultParallelism, int(self.spark.conf.get("spark.sql.shuffle.partitions")) // 4))
         df.write.option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def drop(self, name: str) -> None:
-        """Gives the space of a table back that nothing will read again."""
+    def drop(self, *keep: str) -> None:
+        """Gives the space of all tables back but those that will be read again."""
         jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        for name in [n for n in self.names if n not in keep]:
+            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            self.names.remove(name)
+
+
+def tidy() -> None:
+    """Gives memory that a task no longer needs back to the system: workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
 def arrow_map(df: DataFrame, make: Callable[[], Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]], schema: str) -> DataFrame:
@@ -59,6 +68,7 @@ def arrow_map(df: DataFrame, make: Callable[[], Callable[[Iterator[pa.RecordBatc
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from make()(batches)
+        tidy()
 
     ship(df.sparkSession)
     return df.mapInArrow(run, schema)

@@ -18,6 +18,7 @@ def components(edges: DataFrame, work: Work, name: str) -> DataFrame:
         near = both.join(label, F.col("b") == F.col("node")).groupBy("a").agg(F.min("comp").alias("near"))
         lower = work.table(label.join(near, F.col("node") == F.col("a")).select("node", F.least("comp", "near").alias("comp"), (F.col("near") < F.col("comp")).alias("moved")), f"{name}-{step}-lower")
         if not lower.where("moved").limit(1).count():
+            work.drop(*(n for n in work.names if not n.startswith(f"{name}-") or n == f"{name}-{step - 1}"))
             return label
         root = lower.select(F.col("node").alias("comp"), F.col("comp").alias("root"))
         label = work.table(lower.join(root, "comp").select("node", F.col("root").alias("comp")), f"{name}-{step}")

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, batch, mixed, pick
+from .common import arrow_map, batch, mixed, parts, pick
 from .worker import remembered
 
 ORDER = 4
@@ -47,11 +47,15 @@ LENGTHS = (20, 50, 150, 500)
 SHORT = 6.0
 
 _WORD = re.compile(r"[^\W\d_]+")
+#: Numerals that are no decimal digits (as in ½ ² Ⅷ): word characters without being letters.
+_NUMERAL = re.compile("[" + "".join(c for c in map(chr, range(0x30000)) if c.isalnum() and not c.isalpha() and not c.isdecimal()) + "]")
 START, END = 2, 3
 
 
 def words_of(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
+    """Runs of letters."""
+    text = text.lower()
+    return _WORD.findall(text if text.isascii() else _NUMERAL.sub(" ", text))
 
 
 def coded(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -280,7 +284,7 @@ def _label(df: DataFrame, models: Models | None, token: str, kind: str) -> DataF
         scorer = shared_scorer(sent.value, token)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
+            for b in parts(batches, 1000, 1):
                 texts = [t or "" for t in b.column(1).to_pylist()]
                 if scorer is None:
                     n = np.zeros(len(texts))
@@ -323,18 +327,18 @@ def identify(docs: DataFrame, may_learn: Column | None = None, sample_docs: int
 
 
 def keep_identified(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """docs, all columns, without the rows that no model accepts. Rows are filtered where they are read."""
+    """docs, all columns, without the rows that no model accepts. Rows are filtered where they are read. Without any labelled row there is no model to reject by, and all rows stay."""
     models = fit_sample(pick(docs, doc_id=id_col, text=text_col, lang=lang_col), F.lit(True), sample_docs)
+    if models is None:
+        return docs
     sent, where, token = docs.sparkSession.sparkContext.broadcast(models), docs.columns.index(text_col), uuid.uuid4().hex
 
     def make():
         scorer = shared_scorer(sent.value, token)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                if scorer is not None:
-                    b = b.filter(pa.array(~scorer.judge([t or "" for t in b.column(where).to_pylist()])[3], pa.bool_()))
-                    yield b
+            for b in parts(batches, 1000, where):
+                yield b.filter(pa.array(~scorer.judge([t or "" for t in b.column(where).to_pylist()])[3], pa.bool_()))
 
         return run
 

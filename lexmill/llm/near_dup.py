@@ -16,13 +16,17 @@ similarity with concentration bounds as if each coordinate were hashed on its ow
 
 A pair of similarity 0.8 shares no band with a probability of 3e-6, and fails the sketch test with one below 1e-8.
 
-Edge cases: null and empty texts, and those without a word, have no shingle and are a component each; rows with a null
-id likewise; rows that repeat an id are linked with one another's groups where their sets are similar; ties cannot
-occur, as the least id names a component; an empty table gives an empty table; further columns are ignored.
+Sets are compared as sets of 64-bit hashes of their shingles; equal sets are told by the SHA-256 digest of all of these.
+
+Edge cases: null and empty texts, and those without a word, have no shingle and are a component each; rows that repeat an id and its
+text are one document, each with its result; an id with several texts stands for as many documents; null ids come after all others (a
+component without any other id has a null one); ties cannot occur, as the least id names a component; an empty table gives an empty table;
+further columns are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,9 +35,9 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Work, arrow_map, mixed, pick, seeded
+from .common import Work, arrow_map, mixed, parts, pick, seeded
 from .components import components
-from .repeats import _C1, _C2, _groups, _heads, _rows
+from .repeats import _C1, _C2, _groups, _heads, _rows, keyed, text_hash
 
 ROWS, BANDS = 5, 32
 BINS = ROWS * BANDS
@@ -77,16 +81,17 @@ def sketch(x: np.ndarray) -> np.ndarray:
 def _sketches(size: int):
     def make():
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
+            for b in parts(batches, 2000, 1):
                 n, left, right, coordinates = [], [], [], []
                 for text in b.column(1).to_pylist():
                     x = shingles(text or "", size)
                     n.append(len(x))
-                    left.append(mixed(x ^ _C1).sum(dtype=np.uint64))
-                    right.append(mixed(x ^ _C2).sum(dtype=np.uint64))
+                    digest = hashlib.sha256(x).digest()
+                    left.append(digest[:8])
+                    right.append(digest[8:16])
                     coordinates.append(sketch(x).astype(np.uint16).tobytes() if len(x) else None)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0), pa.array(n, pa.int64()), pa.array(np.array(left, np.uint64).view(np.int64)), pa.array(np.array(right, np.uint64).view(np.int64)), pa.array(coordinates, pa.binary())],
+                    [b.column(0), pa.array(n, pa.int64()), pa.array(np.frombuffer(b"".join(left), np.int64)), pa.array(np.frombuffer(b"".join(right), np.int64)), pa.array(coordinates, pa.binary())],
                     names=["doc_id", "n", "left", "right", "sketch"],
                 )
 
@@ -282,9 +287,33 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, per_cent: int = 80, id_co
     """Per row: doc_id, n_shingles, component_id, kept. Documents with per_cent of their joint shingles in common are linked. Sound for 80 per cent and more."""
     if per_cent < 80:
         raise ValueError("bands are laid out for similarities of 80 per cent and more")
+    out, names = _classified(docs, shingle, per_cent, id_col, text_col)
+    if names is None:
+        return out.select(F.col("doc").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"), "kept")
+    own, other = names.select("doc", F.col("id").alias("doc_id")), names.select(F.col("doc").alias("component"), F.col("id").alias("component_id"))
+    return out.join(own, "doc").join(other, "component").select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def drop_near_duplicates(docs: DataFrame, shingle: int = 5, per_cent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs, all columns: of each group of near duplicates the document with the least id, once."""
+    out, names = _classified(docs, shingle, per_cent, id_col, text_col)
+    kept = out.where("kept").select("doc").distinct()
+    own = docs[f"`{id_col}`"].cast("long")
+    if names is None:
+        chosen = docs.join(kept, own == kept["doc"], "left_semi")
+    else:
+        kept = names.join(kept, "doc").select("id", "kind")
+        chosen = docs.join(kept, own.eqNullSafe(kept["id"]) & (F.xxhash64(F.coalesce(docs[f"`{text_col}`"], F.lit(""))) == kept["kind"]), "left_semi")
+    repeated = out.groupBy("doc").count().where("count > 1").limit(1).count()
+    return chosen.dropDuplicates([id_col, text_col]) if repeated else chosen
+
+
+def _classified(docs: DataFrame, shingle: int, per_cent: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame | None]:
+    """Per row: doc (its number, see keyed), n_shingles, component (the least number reached), kept; and what numbers stand for."""
     work = Work(docs.sparkSession, "near")
-    rows = pick(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
-    drawn = work.table(arrow_map(rows, _sketches(shingle), "doc_id long, n long, left long, right long, sketch binary"), "sketches")
+    rows, names = keyed(pick(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long")), work)
+    rows = rows.select(F.col("doc").alias("doc_id"), "text")
+    drawn = work.table(arrow_map(rows, _sketches(shingle), "doc_id long, n long, left long, right long, sketch binary"), "sketches", scan=True)
     whole = drawn.where("n > 0 and doc_id is not null")
     classes = work.table(whole.groupBy("left", "right").agg(F.min("doc_id").alias("rep")), "classes")
     member = work.table(drawn.select("doc_id", "n", "left", "right").join(classes, ["left", "right"], "left").select("doc_id", "n", F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.col("rep")).alias("rep")), "members")
@@ -327,9 +356,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, per_cent: int = 80, id_co
         if more.limit(1).count():
             links = links.union(more)
             label = components(links, work, f"{step}-components")
-    out = member.join(label, F.col("rep") == F.col("node"), "left")
-    component = F.coalesce("comp", "rep", "doc_id")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    component = F.coalesce("comp", "rep", "doc_id").alias("component")
+    out = work.table(member.join(label, F.col("rep") == F.col("node"), "left").select(F.col("doc_id").alias("doc"), F.col("n").alias("n_shingles"), component), "out")
+    work.drop("out", "keys")
+    return out.withColumn("kept", F.col("doc") == F.col("component")), names
 
 
 def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -189,7 +189,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, may_learn: Column, label_c
     rows = pick(docs, doc_id=id_col, text=text_col)
     kind = rows.schema["doc_id"].dataType.simpleString()
     work = Work(spark, "quality")
-    stats = work.table(document_statistics(rows, kind), "statistics")
+    stats = work.table(document_statistics(rows, kind), "statistics", scan=True)
     known = pick(labels, doc_id=id_col, label=label_col).where(may_learn & F.col("label").isNotNull())
     train = work.table(stats.join(known, "doc_id").select(F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)).cast("int").alias("fold"), F.col("label").cast("double").alias("label"), *NAMES), "train")
     sent = spark.sparkContext.broadcast(fit(train))

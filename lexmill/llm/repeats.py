@@ -24,7 +24,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Work, arrow_map, batch, mixed, parts, seeded, signed
@@ -34,6 +34,8 @@ PLACE_BITS = 21
 BLOCK = 1 << 20
 #: Spans, or windows, that a worker gathers before it sends them on.
 FLUSH = 1_000_000
+#: Stretches of one document that are read there at once.
+ASKED = 20_000
 #: Spans of one minimiser in one flush from which on they go by span.
 MANY = 4
 
@@ -287,17 +289,21 @@ def listed(df: DataFrame, *columns: str) -> DataFrame:
     return df.groupBy("doc").agg(F.collect_list(F.struct(*columns)).alias("where"))
 
 
-def keyed(rows: DataFrame, work: Work) -> DataFrame:
+def text_hash() -> Column:
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
+def keyed(rows: DataFrame, work: Work) -> tuple[DataFrame, DataFrame | None]:
     """rows (doc_id, text) with doc: a number for each document, in the order of ids (nulls last). Rows that repeat an id and its text are one document; an id with several texts stands for
-    as many, in the order of their hashes. Without such ids, and without nulls, numbers are the ids."""
-    kinds = rows.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"))
+    as many, in the order of their hashes. Without such ids, and without nulls, numbers are the ids; else the second result says what they stand for (id, kind: the text's hash, doc)."""
+    kinds = rows.select("doc_id", text_hash().alias("h"))
     odd = kinds.groupBy("doc_id").agg(F.min("h").alias("low"), F.max("h").alias("high")).where("doc_id is null or low <> high").limit(1).count()
     if not odd:
-        return rows.withColumn("doc", F.col("doc_id"))
+        return rows.withColumn("doc", F.col("doc_id")), None
     order = kinds.distinct().orderBy(F.col("doc_id").asc_nulls_last(), "h")
     order = work.table(order.select(F.col("doc_id").alias("id"), F.col("h").alias("kind"), F.monotonically_increasing_id().alias("doc")), "keys")
-    here = rows.withColumn("h", F.xxhash64(F.coalesce("text", F.lit(""))))
-    return here.join(order, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("h") == F.col("kind"))).select("doc_id", "text", "doc")
+    here = rows.withColumn("h", text_hash())
+    return here.join(order, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("h") == F.col("kind"))).select("doc_id", "text", "doc"), order
 
 
 def spans_met(kind: Kind, rows: DataFrame, work: Work, name: str) -> DataFrame:
@@ -330,8 +336,14 @@ def finished(kind: Kind, rows: DataFrame, repeats: DataFrame, work: Work, finish
     of both at their coordinates; None if one differs."""
     paths = work.table(arrow_map(listed(repeats, "start", "stop", "first_doc", "first_start"), _compact, FOUND), f"{name}-paths")
     sides = paths.select("doc", "start", "stop", F.lit(True).alias("cut")).union(paths.select("first_doc", "first_start", F.col("first_start") + F.col("stop") - F.col("start"), F.lit(False)))
-    asked = listed(sides.groupBy("doc", "start", "stop").agg(F.max("cut").alias("cut")), "start", "stop", "cut").withColumnRenamed("doc", "d")
-    faced = rows.join(asked, F.col("doc") == F.col("d"), "left").select("doc_id", "text", "doc", "where")
+    sides = sides.groupBy("doc", "start", "stop").agg(F.max("cut").alias("cut"))
+    # A document that is the source of very many different stretches is read several times, for so many of them each.
+    lot = F.when(F.col("cut"), 0).otherwise(F.pmod(F.xxhash64("start", "stop"), F.ceil(F.count(F.lit(1)).over(Window.partitionBy("doc")) / ASKED)))
+    lots = sides.withColumn("lot", lot).groupBy("doc", "lot").agg(F.collect_list(F.struct("start", "stop", "cut")).alias("where")).withColumnRenamed("doc", "d")
+    lots = work.table(lots, f"{name}-lots")
+    columns = ["doc_id", "text", "doc", "where", text_hash().alias("text_hash")]
+    faced = rows.join(lots.where("lot = 0"), F.col("doc") == F.col("d"), "left").select(*columns, F.lit(True).alias("first"))
+    faced = faced.union(rows.join(lots.where("lot > 0"), F.col("doc") == F.col("d")).select(*columns, F.lit(False)))
 
     def make():
         said = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64()), ("digest", pa.binary())]))
@@ -355,11 +367,11 @@ def finished(kind: Kind, rows: DataFrame, repeats: DataFrame, work: Work, finish
                     _, a, z = _runs(np.zeros(len(order), np.int64), start[order], stop[order])
                     stretches.append(np.stack([a, z], 1))
                 done = finish(b.column(0), texts, stretches)
-                yield pa.RecordBatch.from_arrays([*done.columns, b.column(2), pa.array(told, said)], names=[*done.schema.names, "doc", "told"])
+                yield pa.RecordBatch.from_arrays([*done.columns, b.column(2), pa.array(told, said), b.column(4), b.column(5)], names=[*done.schema.names, "doc", "told", "text_hash", "first"])
 
         return run
 
-    out = work.table(arrow_map(faced, make, f"{schema}, doc long, told array<struct<start: long, stop: long, digest: binary>>"), f"{name}-out")
+    out = work.table(arrow_map(faced, make, f"{schema}, doc long, told array<struct<start: long, stop: long, digest: binary>>, text_hash long, first boolean"), f"{name}-out")
     told = out.select("doc", F.explode("told").alias("t")).select("doc", "t.*").distinct()
     one = told.select(F.col("doc").alias("d1"), F.col("start").alias("s1"), F.col("stop").alias("z1"), F.col("digest").alias("g1"))
     two = told.select(F.col("doc").alias("d2"), F.col("start").alias("s2"), F.col("stop").alias("z2"), F.col("digest").alias("g2"))
@@ -367,18 +379,19 @@ def finished(kind: Kind, rows: DataFrame, repeats: DataFrame, work: Work, finish
     both = both.join(two, (F.col("first_doc") == F.col("d2")) & (F.col("first_start") == F.col("s2")) & (F.col("first_start") + F.col("stop") - F.col("start") == F.col("z2")), "left")
     if both.where(~F.col("g1").eqNullSafe(F.col("g2")) | F.col("g1").isNull()).limit(1).count():
         return None
-    return out.drop("doc", "told")
+    return out.where("first").drop("doc", "told", "first")
 
 
 def removed(kind: Kind, rows: DataFrame, work: Work, settle: Callable, finish: Callable, schema: str) -> DataFrame:
-    """rows: doc_id, text. What finish makes of each, without the windows that also start earlier. settle(kind, documents with open stretches, work, name) gives the repeats among open windows (as FOUND).
+    """rows: doc_id, text. What finish makes of each, and text_hash (see text_hash), without the windows that also start earlier. settle(kind, documents with open stretches, work, name) gives the repeats among open windows (as FOUND).
     Names that stood for different contents show when stretches are compared with their sources: then all is done again with other names."""
-    rows = keyed(rows, work)
+    rows, _ = keyed(rows, work)
     while True:
         name = f"seed{kind.seed}"
         found = spans_met(kind, rows, work, f"{name}-found")
         more = settle(kind, opened(rows, found), work, name)
         out = finished(kind, rows, found.where("not open").select("doc", "start", "stop", "first_doc", "first_start").union(more), work, finish, schema, name)
+        work.drop(f"{name}-out", "keys")
         if out is not None:
             return out
         kind = kind.next()

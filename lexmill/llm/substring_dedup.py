@@ -131,5 +131,17 @@ def remove_repeated_words(docs: DataFrame, window: int = 20, id_col: str = "doc_
     return removed(words_kind(window, bits), rows, Work(docs.sparkSession, "words"), path_repeats, finish, schema)
 
 
+def without_repeated_words(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
+    """docs, all columns: a text that loses words becomes its other words, joined by one space (and length_col, if docs has it, their characters); any other stays as it is."""
+    done = remove_repeated_words(docs, window, id_col, text_col).where("n_removed > 0").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("kept").alias("_kept")).distinct()
+    text = docs[f"`{text_col}`"]
+    both = docs.join(done, docs[f"`{id_col}`"].cast("long").eqNullSafe(done["_id"]) & (F.xxhash64(F.coalesce(text, F.lit(""))) == done["_hash"]), "left")
+    kept = done["_kept"]
+    changed = {text_col: F.coalesce(kept, text)}
+    if length_col in docs.columns:
+        changed[length_col] = F.when(kept.isNotNull(), F.length(kept).cast(docs.schema[length_col].dataType)).otherwise(docs[f"`{length_col}`"])
+    return both.select(*[changed.get(c, docs[f"`{c}`"]).alias(c) for c in docs.columns])
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeated_words(spark.read.parquet(f"{sf_dir}/documents.parquet"), with_text=False).drop("spans")
+    return remove_repeated_words(spark.read.parquet(f"{sf_dir}/documents.parquet"), with_text=False).drop("spans", "text_hash")

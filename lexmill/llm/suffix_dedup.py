@@ -132,4 +132,4 @@ def remove_repeated_bytes(docs: DataFrame, window: int = 100, id_col: str = "doc
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeated_bytes(spark.read.parquet(f"{sf_dir}/documents.parquet"), with_text=False).drop("spans")
+    return remove_repeated_bytes(spark.read.parquet(f"{sf_dir}/documents.parquet"), with_text=False).drop("spans", "text_hash")
