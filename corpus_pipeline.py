@@ -7,14 +7,13 @@ Near duplicates are taken at five-word shingles with 80 per cent in common.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from lexmill.llm.common import Work
 from lexmill.llm.decontaminate import drop_contaminated
 from lexmill.llm.language_id import keep_identified
-from lexmill.llm.near_dup import near_duplicates
+from lexmill.llm.near_dup import drop_near_duplicates
 from lexmill.llm.packing import pack_documents
-from lexmill.llm.substring_dedup import remove_repeated_words
+from lexmill.llm.substring_dedup import without_repeated_words
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,19 +22,13 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: that with the least id. Rows without an id stay."""
-    kept = near_duplicates(docs, shingle=5).where("kept and doc_id is not null").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").select(*docs.columns)
-    return named.unionByName(docs.where("doc_id is null"))
+    """One document of each group of near duplicates: that with the least id. Of rows that repeat an id and its text, one."""
+    return drop_near_duplicates(docs, shingle=5)
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without their repeated passages: a document that loses words becomes its other words, joined by one space, any other stays as it is."""
-    cut = remove_repeated_words(docs).where("n_removed > 0").select("doc_id", "kept").dropDuplicates(["doc_id"])
-    both = docs.join(cut, "doc_id", "left")
-    text = F.coalesce("kept", "text")
-    changed = {"text": text, "n_chars": F.when(F.col("kept").isNotNull(), F.length("kept").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))}
-    return both.select(*[changed.get(c, F.col(c)).alias(c) for c in docs.columns])
+    return without_repeated_words(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -66,5 +59,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     work = Work(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
-        docs = work.table(stage(spark, docs, sf_dir), str(k))
+        docs = work.table(stage(spark, docs, sf_dir), str(k), scan=True)
     return docs
