@@ -352,12 +352,13 @@ def test_vector_search(spark):
     x = r.normal(size=(1200, 8)).round(2)
     x[50:60] = x[40]  # ties
     rows = [(i, [float(v) for v in row]) for i, row in enumerate(x)]
-    odd = [(2000, None), (2100, []), (2200, [0.0] * 8), (2300, [float("nan")] * 8), (2400, [1.0, None] + [0.0] * 6), (2500, [1.0] * 7), (None, [1.0] * 8), rows[100]]
+    odd = [(2000, None), (2100, []), (2200, [0.0] * 8), (2300, [float("nan")] * 8), (2400, [1.0, None] + [0.0] * 6), (2500, [1.0] * 7), (None, [1.0] * 8), rows[100], (2600, [1.0, 0.0]), (2700, [0.0, 1.0]), (2701, [0.0, 3.0]), (2701, [0.0, 4.0])]
     table = spark.createDataFrame([*rows, *odd], "vec_id long, embedding array<double>").withColumn("cell", F.lit(1))
     got = defaultdict(list)
-    for row in nearest(table, F.col("vec_id") % 100 == 0, wanted=600).orderBy("query_id", "rank").collect():
+    for row in nearest(table, F.col("vec_id") % 100 == 0).orderBy("query_id", "rank").collect():
         got[row["query_id"]].append((row["vec_id"], row["score"]))
     hit = 0
+    assert got.pop(2600) == [(2700, 2**0.5), (2701, 10**0.5), (2701, 17**0.5)] and got.pop(2700) == [(2600, 2**0.5), (2701, 2.0), (2701, 3.0)]
     assert set(got) == set(range(0, 1200, 100))
     for q, found in got.items():
         d = np.sqrt(((x - x[q]) ** 2).sum(1))
@@ -369,6 +370,34 @@ def test_vector_search(spark):
     assert [r["rank"] for r in few] == [1, 2] and nearest(table.where("vec_id = 0"), F.lit(True)).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["clustered", "unstructured"])
+def test_vector_recall(spark, tmp_path, kind):
+    """Recall at default settings, and how much of the table a query meets: little where there is structure."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from lexmill.llm import vector_search as V
+
+    r, n = np.random.default_rng(5), 20_000
+    x = r.normal(size=(n, 32)) if kind == "unstructured" else r.normal(size=(300, 32))[r.integers(0, 300, n)] + 0.3 * r.normal(size=(n, 32))
+    pq.write_table(pa.table({"vec_id": np.arange(n), "embedding": list(x)}), tmp_path / "v.parquet")
+    found = defaultdict(set)
+    for row in nearest(spark.read.parquet(str(tmp_path / "v.parquet")), F.col("vec_id") % 100 == 0).collect():
+        found[row["query_id"]].add(row["vec_id"])
+    hit = 0
+    for q in range(0, n, 100):
+        d = ((x - x[q]) ** 2).sum(1)
+        d[q] = np.inf
+        hit += len(found[q] & set(np.argsort(d, kind="stable")[:10].tolist()))
+    assert len(found) == 200 and hit >= 0.9 * 2000
+    if kind == "clustered":
+        shares = []
+        for m in (2000, 20_000):
+            k = int(1.1 * m**0.5)
+            shares.append(V.enough(x[:m], V.Index(V.centroids(x[:m, :16], k, 1), V.centroids(x[:m, 16:], k, 2)), 10))
+        assert shares[1] < 0.7 * shares[0] and shares[1] < 0.1
+
+
 def test_edit_distance():
     r = random.Random(6)
 
