@@ -24,14 +24,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Work, arrow_map, batch, pick
+from .common import Work, arrow_map, batch, parts, pick
 
 #: The share of the presentation in a node's importance; below LOW a branch goes; fewer pages than this judge nothing.
 PRESENTATION, LOW, PAGES = 0.1, 0.2, 4
 
 # Elements by how they are read, and the names by which elements say what they are.
-RAW = {"script", "style", "template", "noscript", "iframe", "svg", "math", "object", "canvas", "video", "audio", "head", "title", "textarea", "select", "xmp", "noembed", "noframes"}
-NOISE = {"nav", "footer", "aside", "form", "button", "menu", "dialog", "fieldset", "label", "input", "option", "datalist"}
+RAW = {"script", "style", "template", "noscript", "iframe", "svg", "object", "canvas", "video", "audio", "head", "title", "textarea", "select", "xmp", "noembed", "noframes"}
+NOISE = {"nav", "footer", "aside", "form", "button", "menu", "dialog", "fieldset", "input", "option", "datalist"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 NAMES = {"ad", "ads", "adbox", "advert", "adverts", "advertisement", "advertising", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "commentlist", "consent", "cookie", "cookies", "disqus", "discussion", "footer", "gdpr", "login", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "pagination", "popup", "promo", "promoted", "related", "replies", "reply", "respond", "search", "share", "sharing", "sidebar", "signup", "skip", "social", "sponsor", "sponsored", "subscribe", "toolbar", "topbar", "widget", "alert", "disclaimer"}
@@ -201,7 +201,7 @@ def _pages():
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: set[tuple[str, bytes]] = set()
-        for b in batches:
+        for b in parts(batches, 1000, 1):
             out = []
             for url, page in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 host, digest = host_of(url), xxhash.xxh3_128()
@@ -283,7 +283,7 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
 
     def make():
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
+            for b in parts(batches, 1000, 2):
                 texts = [main_text(blocks(h or ""), set(x or ())) for h, x in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
                 yield batch(page_id=b.column(0), url=b.column(1), text=pa.array(texts, pa.string()), n_chars=pa.array(map(len, texts), pa.int64()))
 

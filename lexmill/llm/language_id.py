@@ -32,8 +32,10 @@ ORDER = 4
 DISCOUNT = 0.75
 #: Documents a language that a model is fitted on; one more in four calibrates. With MOST_CHARS, the bound of what the driver gathers.
 SAMPLE_DOCS = 400
-#: Longer documents are left out of the sample.
+#: Of a longer document the sample takes so many characters, from a place that its hash tells (a prediction always reads the whole text).
 MOST_CHARS = 20_000
+#: Languages that are learned: those with the most labelled rows, if there are more.
+MOST_LANGS = 500
 #: Words that a worker remembers the scores of, and texts whose words are looked up together.
 REMEMBERED, TOGETHER = 250_000, 64
 #: Rejection: the limit lies this share of the way from the cost of own texts to that of texts of a language left out of fitting (or, with one
@@ -300,15 +302,18 @@ def _label(df: DataFrame, models: Models | None, token: str, kind: str) -> DataF
 
 def fit_sample(docs: DataFrame, may_learn: Column, sample_docs: int = SAMPLE_DOCS) -> Models | None:
     """Models from docs (doc_id, text, lang). The driver gets sample_docs texts a language on average, chosen by hash of their text, and no more than twice that."""
-    rows = docs.where(may_learn & F.col("lang").isNotNull() & (F.length("text") > 0) & (F.length("text") <= MOST_CHARS))
-    size = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    rows = docs.where(may_learn & F.col("lang").isNotNull() & (F.length("text") > 0))
+    size = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGS).collect()}
     if not size:
         return None
     whole = 1 << 30
+    code = F.xxhash64("text", "doc_id")
     bound = F.create_map(*[x for k, n in size.items() for x in (F.lit(k), F.lit(min(whole, int(whole * sample_docs / n) + 1)))])
-    chosen = rows.where(F.pmod(F.xxhash64("text", "doc_id"), F.lit(whole)) < bound[F.col("lang")])
+    chosen = rows.where(F.pmod(code, F.lit(whole)) < bound[F.col("lang")])
+    start = F.when(F.length("text") > MOST_CHARS, F.pmod(code, F.length("text") - MOST_CHARS)).otherwise(0).cast("int") + 1
+    chosen = chosen.orderBy(code, "lang").limit(2 * sample_docs * len(size)).select("lang", F.substring("text", start, F.lit(MOST_CHARS)).alias("text"))
     sample = defaultdict(list)
-    for r in sorted(chosen.select("lang", "text").limit(2 * sample_docs * len(size)).collect(), key=lambda r: (r["lang"], r["text"])):
+    for r in sorted(chosen.collect(), key=lambda r: (r["lang"], r["text"])):
         sample[r["lang"]].append(r["text"])
     for texts in sample.values():
         texts.sort(key=lambda t: mixed(np.array([len(t)], np.uint64) ^ np.uint64(hash_text(t)))[0])

@@ -66,6 +66,10 @@ class Packer:
         self.pool: dict[int, deque] = defaultdict(deque)
         self.waiting = self.made = 0
 
+    def full(self) -> int:
+        """The number of a window that needs no packing."""
+        return self._next()
+
     def _next(self) -> int:
         self.made += 1
         return self.made - 1
@@ -182,9 +186,9 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, capacity: int =
 
             def note(sequence: int, items: list) -> None:
                 offset = 0
-                for (doc, data), start, length in items:
+                for (doc, size, before, data), start, length in items:
                     own = data[4 * start : 4 * (start + length)]
-                    rows.append((doc, start, length, zlib.crc32(own), len(data) // 4, base | sequence, offset, own))
+                    rows.append((doc, before + start, length, zlib.crc32(own), size, base | sequence, offset, own if with_ids else None))
                     offset += length
 
             def out() -> pa.RecordBatch:
@@ -196,13 +200,21 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, capacity: int =
                 rows.clear()
                 return pa.RecordBatch.from_arrays(arrays, names=[c.split()[0] for c in schema.split(", ")])
 
-            for b in parts(batches, 1000):
+            for b in parts(batches, 1000, 1):
                 ids_type = b.column(0).type
                 texts = [t or "" for t in b.column(1).to_pylist()]
                 for doc, data in zip(b.column(0).to_pylist(), words.of(texts)):
                     data += last
-                    for made in packer.add((doc, data), len(data) // 4):
-                        note(*made)
+                    size = len(data) // 4
+                    # Full windows go out at once; the pool holds remainders only, of less than a window each.
+                    full = size - size % capacity
+                    for at in range(0, full, capacity):
+                        note(packer.full(), [((doc, size, at, data[4 * at : 4 * (at + capacity)]), 0, capacity)])
+                        if len(rows) >= PIECES:
+                            yield out()
+                    if size > full:
+                        for made in packer.add((doc, size, full, data[4 * full :]), size - full):
+                            note(*made)
                     if len(rows) >= PIECES:
                         yield out()
             for made in packer.end():

@@ -4,7 +4,8 @@ A byte-pair encoding has the property that the encoding of a prefix ends in exac
 the encoding of the rest, followed by t, is stable under merging; for that it is enough that the last token
 of the rest and t are stable side by side. So one pass over the prefixes, with the last token and the count
 of each, gives every prefix's count. Texts are split into pieces first, as the tokenizer's own pre-tokenizer
-does, and a piece's table is remembered.
+does. A piece's table of counts, one for each of its prefixes, is stored; a text's count at any prefix is the sum of the pieces before
+the cut and one entry of the table of the piece that is cut, so truncation and budgets need no further encoding.
 
 Edge cases: a null text counts as empty (0 bytes, 0 tokens); repeated rows give repeated results; an empty
 table gives an empty table; further columns of the input are ignored; null ids are kept as they are.
@@ -19,11 +20,11 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import arrow_map, batch, pick
+from .common import arrow_map, batch, parts, pick
 from .worker import remembered
 
 #: Words remembered by a worker before its memory is cleared.
-REMEMBERED = 500_000
+REMEMBERED = 400_000
 
 # Code points for which Python's classes below agree with the tokenizer's; any other text is split by the library itself.
 _PLAIN = re.compile(r"[\t\n\r\x20-\x7e\xa1-ſ‐-‧‰-⁞€]*")
@@ -58,6 +59,8 @@ class PrefixCounter:
         self.library = Tokenizer.from_file(path)
         self.stable: dict[tuple[str, str], bool] = {}
         self.whole: dict[str, int] = {}
+        #: The counts at every prefix of the pieces in whole, a byte each (pieces of under 64 characters).
+        self.tables: dict[str, bytes] = {}
         self.latin = {c: "".join(self.letters[b] for b in c.encode()) for c in map(chr, range(0x180))}
 
     def merged(self, word: str) -> list[str]:
@@ -107,22 +110,29 @@ class PrefixCounter:
             return _SPLIT.findall(text)
         return [text[a:b] for _, (a, b) in self.library.pre_tokenizer.pre_tokenize_str(text)]
 
+    def prefixes(self, piece: str) -> bytes | list[int]:
+        """The stored counts at every prefix of a piece."""
+        known = self.tables.get(piece)
+        if known is None:
+            known = self.table(piece)
+            if len(piece) < 64 and known[-1] < 256:
+                if len(self.whole) > REMEMBERED:
+                    self.whole.clear()
+                    self.tables.clear()
+                known = self.tables[piece] = bytes(known) if max(known) < 256 else known
+                self.whole[piece] = known[-1]
+        return known
+
     def of_piece(self, piece: str) -> int:
         n = self.whole.get(piece)
-        if n is None:
-            if len(self.whole) > REMEMBERED:
-                self.whole.clear()
-            n = self.table(piece)[-1]
-            if len(piece) < 64:
-                self.whole[piece] = n
-        return n
+        return self.prefixes(piece)[-1] if n is None else n
 
     def plain(self, text: str) -> int:
         pieces = self.pieces(text)
-        try:
-            return sum(map(self.whole.__getitem__, pieces))
-        except KeyError:
-            return sum(map(self.of_piece, pieces))
+        counts = list(map(self.whole.get, pieces))
+        if None in counts:
+            return sum([self.prefixes(p)[-1] if n is None else n for p, n in zip(pieces, counts)])
+        return sum(counts)
 
     def count(self, text: str) -> int:
         """Tokens of a text; a special string in it is one token, as the library takes it by default."""
@@ -131,21 +141,39 @@ class PrefixCounter:
         return sum(1 if part in self.special else self.plain(part) for part in self.cut.split(text) if part)
 
     def within(self, text: str, budget: int) -> int:
-        """The length in characters of the longest prefix made of whole pieces that has at most budget tokens; no piece is encoded again."""
+        """The length in characters of the longest prefix that has at most budget tokens, from the stored counts: whole pieces as long as they fit, and of the piece that
+        doesn't, its longest prefix that does. (Where a cut leaves white space or an apostrophe last, the pieces before it may change; such a cut is counted again.)"""
         at = used = 0
         parts = [text] if self.cut is None else [p for p in self.cut.split(text) if p]
         for part in parts:
             for piece in [part] if part in self.special else self.pieces(part):
-                used += 1 if part in self.special else self.of_piece(piece)
-                if used > budget:
+                n = 1 if part in self.special else self.of_piece(piece)
+                if used + n > budget:
+                    if part in self.special:
+                        return at
+                    ends = [0]
+                    for c in piece:
+                        ends.append(ends[-1] + len(c.encode("utf-8", "surrogatepass")))
+                    counts = self.prefixes(piece)
+                    for k in range(len(piece) - 1, 0, -1):
+                        if used + counts[ends[k]] <= budget and self.prefix(text, at + k) <= budget:
+                            return at + k
                     return at
+                used += n
                 at += len(piece)
         return at
 
     def prefix(self, text: str, length: int) -> int:
-        """Tokens of text[:length]. Only the two pieces before the cut are looked at again: splitting never looks back."""
-        if any(s in text for s in self.special):
-            return self.count(text[:length])
+        """Tokens of text[:length], from the stored counts; only the two pieces before the cut are split again, as splitting looks ahead but never back."""
+        if self.cut is not None and any(s in text for s in self.special):
+            done, whole = 0, length
+            for part in [p for p in self.cut.split(text) if p]:
+                if length <= len(part):
+                    # A special string that is cut is plain text, and so is what stands before it.
+                    return self.count(text[:whole]) if part in self.special and 0 < length < len(part) else done + (1 if part in self.special else self.prefix(part, length))
+                done += 1 if part in self.special else self.plain(part)
+                length -= len(part)
+            return done
         used, starts, at = [0], [0], 0
         for piece in self.pieces(text):
             if at + len(piece) >= length:
@@ -163,14 +191,14 @@ def counter(path: str) -> PrefixCounter:
 
 
 def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id, n_bytes, n_tokens, over_limit, and fit_chars: how many characters, in whole pieces, stay within the limit."""
+    """Per row: id, n_bytes, n_tokens, over_limit, and fit_chars: the length of the longest prefix within the limit."""
     kind = docs.select(docs[f"`{id_col}`"].alias("doc_id")).schema["doc_id"].dataType.simpleString()
 
     def make():
         c = counter(tokenizer)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
+            for b in parts(batches, 2000, 1):
                 texts = [t or "" for t in b.column(1).to_pylist()]
                 counts = [c.count(t) for t in texts]
                 yield batch(

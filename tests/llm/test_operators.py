@@ -210,6 +210,21 @@ def test_token_counts(clashing):
         assert counter.count(t[:cut]) <= 10 or "\n" in t or " " in t
 
 
+def test_prefix_counts():
+    """Counts at every prefix, and the longest prefix within a budget, against encoding each prefix."""
+    c = PrefixCounter(BYTE_BPE)
+    r = random.Random(4)
+    texts = odd_texts(60, 2) + ["hello world's  best   <|endoftext|> end", "a" * 90, "".join(r.choice("abcdefghijklmnop0123") for _ in range(200)), "日本語の文章です " * 4, ""]
+    for t in texts:
+        counts = [len(c.library.encode(t[:k], add_special_tokens=False).ids) for k in range(len(t) + 1)]
+        assert [c.prefix(t, k) for k in range(len(t) + 1)] == counts
+        for budget in (0, 1, 3, 10, counts[-1] // 2, counts[-1]):
+            fit = c.within(t, budget)
+            assert counts[fit] <= budget and (fit == len(t) or all(n > budget for n in counts[fit + 1 : fit + 2]) or any(n > budget for n in counts[fit + 1 :]))
+    blob = texts[-3]
+    assert c.within(blob, 20) >= 20
+
+
 def test_word_ids():
     ids = WordIds(WORD_BPE)
     texts = [*odd_texts(400, 2), "", "<|startoftext|> x", "It's WE'LL é²"]
@@ -527,6 +542,17 @@ def test_long_text(frame):
     assert sorted((x["doc_id"], x["kept"]) for x in N.near_duplicates(rows).collect()) == [(1, True), (2, False)]
 
 
+def test_math_and_labels_are_text():
+    page = '<article><p>a <math><mi>x</mi></math> b</p><label>c</label><p class="ad-hoc">d</p><div class="social-history">e</div><dl id="related-work"><dd>f</dd></dl></article><form><label>g</label></form>'
+    assert main_text(blocks(page), set()) == "a x b c d e f"
+
+
+def test_numerals_are_no_letters():
+    from lexmill.llm.language_id import words_of
+
+    assert words_of("½ ² ③ Ⅷ 12 a½b") == ["a", "b"]
+
+
 def test_entities_and_escapes():
     assert main_text(blocks(f"<article><p>{html.escape('<b> & é')}</p></article>"), set()) == "<b> & é"
     assert re.sub(r"\s+", " ", main_text(blocks("<body>a<br>b<hr>c</body>"), set())) == "a b c"
