@@ -38,12 +38,14 @@ class Work:
         self.spark, self.root = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
         self.names: list[str] = []
 
-    def table(self, df: DataFrame, name: str, scan: bool = False) -> DataFrame:
-        """df, written and read again. scan: df comes straight from a scan, whose tasks write a file each; tasks after a shuffle are put together by four, or to four a core if that is more, so that small tables aren't made of many tiny files."""
+    def table(self, df: DataFrame, name: str, scan: bool = False, small: bool = False) -> DataFrame:
+        """df, written and read again. scan: df comes straight from a scan, whose tasks write a file each. Tasks after a shuffle are put together where there are more than sixteen a core
+        (small, for tables of ids and labels: four), by two at most (small: eight), so that tables aren't made of very many tiny files."""
         path = f"{self.root}/{name}"
         self.names.append(name)
         if not scan:
-            df = df.coalesce(max(4 * self.spark.sparkContext.defaultParallelism, int(self.spark.conf.get("spark.sql.shuffle.partitions")) // 4))
+            cores, shuffled = self.spark.sparkContext.defaultParallelism, int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+            df = df.coalesce(max(4 * cores, shuffled // 8) if small else max(16 * cores, shuffled // 2))
         df.write.option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 

@@ -56,8 +56,10 @@ START, END = 2, 3
 
 def words_of(text: str) -> list[str]:
     """Runs of letters."""
-    text = text.lower()
-    return _WORD.findall(text if text.isascii() else _NUMERAL.sub(" ", text))
+    words = _WORD.findall(text.lower())
+    if text.isascii() or all(map(str.isalpha, words)):
+        return words
+    return [v for w in words for v in ([w] if w.isalpha() else _NUMERAL.sub(" ", w).split())]
 
 
 def coded(words: list[str]) -> tuple[np.ndarray, np.ndarray]:

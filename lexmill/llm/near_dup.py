@@ -315,7 +315,7 @@ def _classified(docs: DataFrame, shingle: int, per_cent: int, id_col: str, text_
     rows = rows.select(F.col("doc").alias("doc_id"), "text")
     drawn = work.table(arrow_map(rows, _sketches(shingle), "doc_id long, n long, left long, right long, sketch binary"), "sketches", scan=True)
     whole = drawn.where("n > 0 and doc_id is not null")
-    classes = work.table(whole.groupBy("left", "right").agg(F.min("doc_id").alias("rep")), "classes")
+    classes = work.table(whole.groupBy("left", "right").agg(F.min("doc_id").alias("rep")), "classes", small=True)
     member = work.table(drawn.select("doc_id", "n", "left", "right").join(classes, ["left", "right"], "left").select("doc_id", "n", F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.col("rep")).alias("rep")), "members")
     reps = whole.select("doc_id", "left", "right", "sketch").join(classes, ["left", "right"]).where("doc_id = rep").select(F.col("doc_id").alias("doc"), "sketch")
     sent = arrow_map(reps, _send_bands, _SENT)
@@ -329,18 +329,18 @@ def _classified(docs: DataFrame, shingle: int, per_cent: int, id_col: str, text_
     def confirmed(pairs: DataFrame, name: str) -> DataFrame:
         right = pairs.join(texts, pairs.b == texts.doc).select("a", "b", F.col("text").alias("right"))
         both = right.join(texts, right.a == texts.doc).select("a", "b", F.col("text").alias("left"), "right")
-        return work.table(arrow_map(both, _confirm(shingle, per_cent), "a long, b long"), name)
+        return work.table(arrow_map(both, _confirm(shingle, per_cent), "a long, b long"), name, small=True)
 
-    tried = work.table(met.where(F.col("how") == PAIR).select("a", "b").distinct(), "pairs")
+    tried = work.table(met.where(F.col("how") == PAIR).select("a", "b").distinct(), "pairs", small=True)
     links = confirmed(tried, "links")
     label = components(links, work, "components")
     one = shown.dropDuplicates(["doc"])
     for step in ("nearest", "rest"):
-        now = work.table(bands.join(label, F.col("doc") == F.col("node"), "left").select("k", "doc", F.coalesce("comp", "doc").alias("comp")).distinct(), f"{step}-now")
+        now = work.table(bands.join(label, F.col("doc") == F.col("node"), "left").select("k", "doc", F.coalesce("comp", "doc").alias("comp")).distinct(), f"{step}-now", small=True)
         per = now.groupBy("k", "comp").agg(F.count(F.lit(1)).alias("c"))
         open_ = per.groupBy("k").agg(F.count(F.lit(1)).alias("comps"), F.sum("c").alias("n"), F.max_by("comp", F.struct("c", -F.col("comp"))).alias("main"), F.max("c").alias("most")).where("comps > 1 and n > 2")
-        open_ = work.table(open_.select("k", "main", F.ceil(F.col("n") / BLOCK).cast("int").alias("ms"), F.ceil((F.col("n") - F.col("most")) / BLOCK).cast("int").alias("ps")), f"{step}-open")
-        here = work.table(now.join(open_, "k"), f"{step}-here")
+        open_ = work.table(open_.select("k", "main", F.ceil(F.col("n") / BLOCK).cast("int").alias("ms"), F.ceil((F.col("n") - F.col("most")) / BLOCK).cast("int").alias("ps")), f"{step}-open", small=True)
+        here = work.table(now.join(open_, "k"), f"{step}-here", small=True)
         mine = lambda of: F.pmod(F.xxhash64("doc"), F.col(of)).cast("int")
         all_ = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
         members = here.select("k", all_("ps").alias("p"), mine("ms").alias("m"), F.lit(False).alias("probe"), "doc", "comp")
@@ -349,7 +349,7 @@ def _classified(docs: DataFrame, shingle: int, per_cent: int, id_col: str, text_
         met_ = lambda df: df.repartition("k").sortWithinPartitions("k", "p", "m", "doc")
         if step == "nearest":
             pairs = arrow_map(met_(faced), _nearest, "a long, b long").distinct()
-            more = confirmed(work.table(pairs.join(tried, ["a", "b"], "left_anti"), f"{step}-pairs"), f"{step}-links")
+            more = confirmed(work.table(pairs.join(tried, ["a", "b"], "left_anti"), f"{step}-pairs", small=True), f"{step}-links")
         else:
             left = work.table(arrow_map(met_(faced), _involved, "k long, p int, m int, probe boolean, doc long, comp long, sketch binary"), f"{step}-involved")
             more = work.table(arrow_map(met_(left.join(texts.dropDuplicates(["doc"]), "doc").select(*left.columns, "text")), _settle(shingle, per_cent), "a long, b long"), f"{step}-links")

@@ -334,13 +334,13 @@ def _compact():
 def finished(kind: Kind, rows: DataFrame, repeats: DataFrame, work: Work, finish: Callable, schema: str, name: str) -> DataFrame | None:
     """rows (doc_id, text, doc) given to finish(doc_ids, texts, [merged stretches to remove as (n, 2) arrays]), as a table. Every stretch is compared with its source, by the digests
     of both at their coordinates; None if one differs."""
-    paths = work.table(arrow_map(listed(repeats, "start", "stop", "first_doc", "first_start"), _compact, FOUND), f"{name}-paths")
+    paths = work.table(arrow_map(listed(repeats, "start", "stop", "first_doc", "first_start"), _compact, FOUND), f"{name}-paths", small=True)
     sides = paths.select("doc", "start", "stop", F.lit(True).alias("cut")).union(paths.select("first_doc", "first_start", F.col("first_start") + F.col("stop") - F.col("start"), F.lit(False)))
     sides = sides.groupBy("doc", "start", "stop").agg(F.max("cut").alias("cut"))
     # A document that is the source of very many different stretches is read several times, for so many of them each.
     lot = F.when(F.col("cut"), 0).otherwise(F.pmod(F.xxhash64("start", "stop"), F.ceil(F.count(F.lit(1)).over(Window.partitionBy("doc")) / ASKED)))
     lots = sides.withColumn("lot", lot).groupBy("doc", "lot").agg(F.collect_list(F.struct("start", "stop", "cut")).alias("where")).withColumnRenamed("doc", "d")
-    lots = work.table(lots, f"{name}-lots")
+    lots = work.table(lots, f"{name}-lots", small=True)
     columns = ["doc_id", "text", "doc", "where", text_hash().alias("text_hash")]
     faced = rows.join(lots.where("lot = 0"), F.col("doc") == F.col("d"), "left").select(*columns, F.lit(True).alias("first"))
     faced = faced.union(rows.join(lots.where("lot > 0"), F.col("doc") == F.col("d")).select(*columns, F.lit(False)))
