@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..session import shared_folder
 from .grammar import check_grammar
 from .nrule import check_n_rule
 from .orthography import check_orthography, rule_hints
@@ -60,6 +62,13 @@ def german_first(spelling: DataFrame, germanisms: DataFrame, most: int = 5) -> D
     return rows.withColumn("suggestions", F.when(F.col("_lb").isNotNull(), both).otherwise(F.col("suggestions"))).drop("_key", "_prefix", "_lb")
 
 
+def kept(rows: DataFrame, name: str) -> DataFrame:
+    """rows, written once to the shared folder for all families that read them."""
+    path = f"{shared_folder(rows.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    rows.write.option("compression", "zstd").parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def _spelling_rows(spelling: DataFrame) -> DataFrame:
     return spelling.select("doc_id", F.lit("spelling").alias("family"), F.lit("unknown-word").alias("check"), F.lit(None).cast("string").alias("rule"), F.col("word").alias("text"), "start", "end", F.array_join("suggestions", ", ").alias("suggestion"), F.array_join(F.transform("hints", lambda h: h["hint"]), "; ").alias("message"), F.lit("high").alias("confidence"))
 
@@ -78,10 +87,11 @@ def _grammar_rows(found: DataFrame) -> DataFrame:
 
 def spell_check(docs: DataFrame, language: Language, n_rule: bool = True, orthography: bool = True, lookup: bool = False, most: int = 5, ignore: list[str] = (), skip_capitalised: bool = False) -> DataFrame:
     """C-01. docs: doc_id, text. Findings of the spelling, n-rule and orthography families."""
-    tokens = tokenize(docs)
+    tokens = kept(tokenize(docs), "tokens")
     spelling = check_spelling(tokens, language.wordlist, ignore, True, skip_capitalised, most)
     if language.germanisms is not None:
         spelling = german_first(spelling, language.germanisms, most)
+    spelling = kept(spelling, "spelling")
     out = _spelling_rows(rule_hints(spelling))
     if n_rule:
         out = out.unionByName(_n_rows(not_at(check_n_rule(tokens, language.wordlist, language.n_forms if lookup else None), spelling)))
@@ -97,15 +107,15 @@ def n_rule_check(docs: DataFrame, language: Language, lookup: bool = True, min_c
 
 def draft_check(docs: DataFrame, language: Language, lookup: bool = True, ignore: list[str] = (), hide_germanisms: bool = False) -> DataFrame:
     """C-02. All four families. n-rule findings on unknown words and on rewritten auxiliaries go, spelling findings within sure orthography findings too; with hide_germanisms also those that a Germanism explains (as reports show it)."""
-    tokens = tokenize(docs)
-    spelling = check_spelling(tokens, language.wordlist, ignore, most=4)
+    tokens = kept(tokenize(docs), "tokens")
+    spelling = kept(check_spelling(tokens, language.wordlist, ignore, most=4), "spelling")
     n_rule = check_n_rule(tokens, language.wordlist, language.n_forms if lookup else None)
     out = []
     if language.nouns is not None and language.participles is not None:
-        grammar = check_grammar(docs, words(tokens), language.nouns, language.participles, spelling, language.germanisms, language.german if lookup else None)
+        grammar = kept(check_grammar(docs, words(tokens), language.nouns, language.participles, spelling, language.germanisms, language.german if lookup else None), "grammar")
         n_rule = not_at(n_rule, grammar.where("kind = 'auxiliary'"))
         out.append(_grammar_rows(grammar))
-    orthography = check_orthography(docs)
+    orthography = kept(check_orthography(docs), "orthography")
     shown = not_inside(spelling, orthography.where("confidence = 'high'"))
     if hide_germanisms and out:
         shown = not_at(shown, out[0].where("check = 'germanism'"))

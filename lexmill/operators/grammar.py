@@ -38,7 +38,7 @@ def _order() -> Window:
 def germanisms(unknown: DataFrame, listed: DataFrame, reverse: DataFrame | None = None) -> DataFrame:
     """G-01, J-01, J-02. unknown: doc_id, word, start, end; listed: german_key, german, lb, note; reverse: german, lemma, pos, sense, ord (see lexicon.german_hits).
 
-    The list decides first, then the reverse lookup of words of three letters and more, then the shape of a participle.
+    The list decides first, then the reverse lookup of words of three letters and more, then the shape of a participle. Without a reverse lookup only the list decides.
     """
     prefix, core = X.elision(F.col("word"))
     rows = unknown.select("doc_id", F.col("word").alias("text"), "start", "end", prefix.alias("prefix"), core.alias("core"), F.lower(core).alias("key"))
@@ -50,7 +50,7 @@ def germanisms(unknown: DataFrame, listed: DataFrame, reverse: DataFrame | None
         rows = rows.withColumn("hits", F.lit(None).cast("array<struct<ord: int, lemma: string, pos: string, sense: string>>"))
     long = F.length("core") >= 3
     other = F.array_join(F.array_distinct(F.col("hits.lemma")), ", ")
-    shape = long & F.col("core").rlike(r"^ge\p{Ll}+(?:t|en)$")
+    shape = F.lit(reverse is not None) & long & F.col("core").rlike(r"^ge\p{Ll}+(?:t|en)$")
     confidence = F.when(F.col("lb").isNotNull(), "high").when(long & (F.size("hits") > 0), "medium").when(shape, "low")
     raw = F.when(confidence == "high", F.col("lb")).when(confidence == "medium", other).when(shape, "(look up)")
     cased = F.array_join(F.transform(F.split(raw, ",\\s*"), lambda s: F.concat("prefix", _cased(F.col("core"), s))), ", ")

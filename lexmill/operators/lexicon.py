@@ -158,7 +158,7 @@ def _links(trees: pd.Series) -> pd.Series:
 
 def read_hits(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """S-16, L-01, D11. Search responses, one JSON document a file: file, ord, and the hits in their order."""
-    raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.from_json("value", SEARCH).alias("r"))
+    raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.from_json("value", SEARCH).alias("r"))
     return hits(raw.select("file", F.posexplode("r.results").alias("ord", "h")))
 
 

@@ -132,9 +132,9 @@ def check_n_rule(tokens: DataFrame, wordlist: DataFrame, n_forms: DataFrame | No
     # Only words that the rule can concern at all are asked what stands after them.
     may_fall = ends_n if n_forms is not None else ends_n & (F.col("lower").isin(*PAIRS) | F.col("lower").rlike("[^e]en$"))
     single = single.where(may_fall | (~ends_n & (F.col("lower").isin(*back) | F.col("lower").rlike("[^e]e$"))))
-    # The long CASE stands once, behind a generator that filters are not pushed through.
+    # The long CASE stands once, behind a generator that filters are not pushed through and that generates no code of its own, so that it is compiled in parts.
     context = token_context(F.col("next_type"), F.col("next_text"), end_is_pause)
-    single = single.select("*", F.explode(F.array(context)).alias("c")).where(F.col("c.ctx") == F.when(ends_n, "drop").otherwise("keep"))
+    single = single.select("*", F.stack(F.lit(1), context).alias("c")).where(F.col("c.ctx") == F.when(ends_n, "drop").otherwise("keep"))
     single = single.withColumn("cap", X.capitalised(F.col("bare")) & ~F.col("initial"))
     drop = F.col("c.ctx") == "drop"
     stem = F.expr("substring(bare, 1, length(bare) - 1)")

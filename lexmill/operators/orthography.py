@@ -33,6 +33,10 @@ REPORTING = "sot seet huet freet rifft mengt duecht schreift".split()
 SHORTENED = "asw usw etc ca evtl allg".split()
 
 
+#: Characters before a match that its guards may look at.
+NEAR = 64
+
+
 def title(word: Column) -> Column:
     return F.concat(F.upper(X.head(word)), X.tail(word))
 
@@ -45,7 +49,7 @@ def sentence_start(before: Column) -> Column:
 
 @dataclass(frozen=True)
 class Check:
-    """One pattern. Span and texts are made from a match m (fields hit, g1, g2, g3, start, before: the text up to the match)."""
+    """One pattern. Span and texts are made from a match m (fields hit, g1, g2, g3, start, before: the last NEAR characters up to the match)."""
 
     id: str
     rule: str | Callable[[Column], Column]
@@ -112,7 +116,7 @@ class _Match:
 
     def __init__(self):
         self.hit, self.g1, self.g2, self.g3, self.start = (F.col(n) for n in ("hit", "g1", "g2", "g3", "at"))
-        self.before = F.substring(F.col("_text"), F.lit(1), F.col("at"))
+        self.before = F.col("before")
 
 
 def _groups(pattern: str) -> int:
@@ -137,11 +141,21 @@ def check_orthography(docs: DataFrame, only: list[str] | None = None, id_col: st
         return F.when(match, whole)
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"))
-    hits = rows.select("*", F.explode(F.filter(F.array(*[found(k, c) for k, c in checks]), lambda x: x.isNotNull())).alias("f")).repartition("doc_id")
-    each = hits.select("doc_id", "_text", F.col("f.seq").alias("seq"), F.posexplode(F.slice(F.arrays_zip("f.gap", "f.hit", "f.g1", "f.g2", "f.g3"), F.lit(1), F.size("f.hit"))).alias("pos", "m"))
-    each = each.select("doc_id", "_text", "seq", "pos", "m.*")
-    running = Window.partitionBy("doc_id", "seq").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    each = each.withColumn("at", (F.sum(F.length("gap") + F.length("hit")).over(running) - F.length("hit")).cast("int"))
+    def placed(f: Column) -> Column:
+        """The matches of one check with their places and what stands before them: a fold over what lies between, so that no match carries its text along."""
+        z = F.slice(F.arrays_zip(f["gap"].alias("gap"), f["hit"].alias("hit"), f["g1"].alias("g1"), f["g2"].alias("g2"), f["g3"].alias("g3")), F.lit(1), F.size(f["hit"]))
+        match = "struct<at: int, before: string, hit: string, g1: string, g2: string, g3: string>"
+        start = F.struct(F.lit(0).alias("at"), F.lit("").alias("tail"), F.array().cast(f"array<{match}>").alias("out"))
+
+        def step(acc: Column, x: Column) -> Column:
+            at, tail = acc["at"] + F.length(x["gap"]), F.right(F.concat(acc["tail"], x["gap"]), F.lit(NEAR))
+            out = F.struct(at.alias("at"), tail.alias("before"), x["hit"].alias("hit"), x["g1"].alias("g1"), x["g2"].alias("g2"), x["g3"].alias("g3"))
+            return F.struct((at + F.length(x["hit"])).alias("at"), F.right(F.concat(tail, x["hit"]), F.lit(NEAR)).alias("tail"), F.concat(acc["out"], F.array(out)).alias("out"))
+
+        return F.aggregate(z, start, step, lambda acc: acc["out"])
+
+    hits = rows.select("doc_id", F.explode(F.filter(F.array(*[found(k, c) for k, c in checks]), lambda x: x.isNotNull())).alias("f"))
+    each = hits.select("doc_id", F.col("f.seq").alias("seq"), F.explode(placed(F.col("f"))).alias("m")).select("doc_id", "seq", "m.*")
 
     def pick(value: Callable[[Check, _Match], Column]) -> Column:
         m = _Match()

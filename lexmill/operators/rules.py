@@ -58,7 +58,7 @@ EXPANSIONS = (
 TOPICS = (
     (r"n.?(rule|reegel|regel)|eifel", "6.1.1 6.1.2.2 6.1.2.4"),
     (r"(lengthening|stretch|dehnungs|deenungs)[- ]?h|\bh\b.*(long|laang|läng)", "4.3.1 1.2.3"),
-    (r"(^|[^\w])[ëé]($|[^\w])|treema|accent aigu", "2.2.2 2.2.3"),
+    (r"(^|[\W\d_])[ëé]($|[\W\d_])|treema|accent aigu", "2.2.2 2.2.3"),
     (r"ß|eszett", "4.3.4.2 4.3.4.4"),
     (r"\bee\b|laangen e|long e", "2.1"),
     (r"r.?(rule|reegel)|ier|uer", "3.2.1"),

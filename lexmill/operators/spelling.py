@@ -15,15 +15,22 @@ def acronym(word: Column) -> Column:
 
 
 def valid_words(words: DataFrame, wordlist: DataFrame) -> DataFrame:
-    """P-08. words: word (distinct). The same plus valid: as it is, without d' or z', without edge apostrophes, or part by part between hyphens."""
+    """P-08. words: word (distinct). The same plus valid: as it is, without d' or z', without edge apostrophes, or part by part between hyphens; a form with a capital first letter
+    also in small letters, and one all in capitals in small letters or with a capital first."""
     w = X.straight(F.col("word"))
     _, rest = X.elision(F.col("word"))
     core = F.regexp_replace(rest, "^'+|'+$", "")
     parts = F.filter(F.split(core, "-"), lambda p: p != "")
     hyphened = core.contains("-") & (F.size(parts) > 1)
+
+    def variants(f: Column) -> Column:
+        small = F.lower(f)
+        loud = (f == F.upper(f)) & (small != f) & (F.length(f) > 1)
+        return F.array_compact(F.array(f, F.when(X.capitalised(f) & ((X.tail(f) == F.lower(X.tail(f))) | loud), small), F.when(loud, F.concat(X.head(f), X.tail(small)))))
+
     # Candidate forms: way 0 needs any of them; way 1, the parts of a compound, all.
     ways = F.concat(
-        F.transform(F.array_distinct(F.array(w, rest, core)), lambda f: F.struct(F.lit(0).alias("way"), f.alias("form"))),
+        F.transform(F.array_distinct(F.flatten(F.transform(F.array(w, rest, core), variants))), lambda f: F.struct(F.lit(0).alias("way"), f.alias("form"))),
         F.when(hyphened, F.transform(F.filter(parts, lambda p: ~(acronym(p) | p.rlike("^[0-9]+$"))), lambda f: F.struct(F.lit(1).alias("way"), f.alias("form")))).otherwise(F.array().cast("array<struct<way: int, form: string>>")),
     )
     each = words.select("word", hyphened.alias("hyphened"), F.explode(ways).alias("x")).select("word", "hyphened", "x.*")

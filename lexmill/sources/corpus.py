@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import io
 import json
+import uuid
 import zipfile
 from collections.abc import Iterator
 
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as X
+from ..session import shared_folder
 
 LANGUAGES = ("lb", "fr", "de", "en")
 # Names of the languages in file headers and keys.
@@ -122,10 +124,9 @@ def parse_json_line(line: str) -> tuple[dict, dict] | None:
         lang, value = _language(first(*code)), first(*said)
         if lang and value:
             text[lang] = value.strip()
-    todo = [(record, 0)]
-    while todo:
-        node, depth = todo.pop()
-        deeper = []
+
+    def walk(node: dict, depth: int) -> None:
+        """Keys in their order: a language's first text counts, however deep it stands."""
         for key, value in node.items():
             if isinstance(value, str):
                 lang = _language(key)
@@ -136,8 +137,9 @@ def parse_json_line(line: str) -> tuple[dict, dict] | None:
             elif isinstance(value, (int, float)) and not isinstance(value, bool) and depth == 0:
                 meta[key] = str(int(value)) if float(value).is_integer() else str(value)
             elif isinstance(value, dict) and depth < 2:
-                deeper.append((value, depth + 1))
-        todo += reversed(deeper)
+                walk(value, depth + 1)
+
+    walk(record, 0)
     return (text, meta) if text else None
 
 
@@ -157,8 +159,8 @@ def read_jsonl(spark: SparkSession, path: str | list[str], first_id: int = 0) ->
     return _numbered(raw.mapInPandas(run, f"file string, record long, {SEGMENT}"), first_id)
 
 
-def read_zip(spark: SparkSession, path: str, work: str) -> DataFrame:
-    """S-05. Segments of an archive: of its TMX members if it has any, else of its JSON lines; members in order of their names. work: a shared folder for the members."""
+def read_zip(spark: SparkSession, path: str | list[str], work: str) -> DataFrame:
+    """S-05. Segments of archives (a file or several): of their TMX members if it has any, else of its JSON lines; members in order of their names. work: a shared folder for the members."""
     members = spark.read.format("binaryFile").load(path).select("path", "content")
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -184,16 +186,18 @@ def read_zip(spark: SparkSession, path: str, work: str) -> DataFrame:
 
 
 def read_corpus(spark: SparkSession, path: str, work: str | None = None) -> DataFrame:
-    """S-06, S-07. A file by its extension, or a folder: its TMX files if it has any, else its JSON lines."""
+    """S-06, S-07. A file by its extension, or a folder: its TMX files if it has any, else its JSON lines, else its archives. work: a shared folder for what archives hold (one of the session's own if None)."""
+    work = work or f"{shared_folder(spark)}/archives-{uuid.uuid4().hex}"
     low = path.lower()
     if low.endswith((".tmx", ".xml")):
         return read_tmx(spark, path)
     if low.endswith((".jsonl", ".json")):
         return read_jsonl(spark, path)
     if low.endswith(".zip"):
-        return read_zip(spark, path, work or f"{path}.members")
+        return read_zip(spark, path, work)
     listed = [r["path"] for r in spark.read.format("binaryFile").load(path).select("path").collect()]  # names only
-    for kinds, read in (((".tmx",), read_tmx), ((".jsonl", ".json"), read_jsonl)):
+    zipped = lambda spark, paths: read_zip(spark, paths, work)
+    for kinds, read in (((".tmx",), read_tmx), ((".jsonl", ".json"), read_jsonl), ((".zip",), zipped)):
         chosen = sorted(p for p in listed if p.lower().endswith(kinds))
         if chosen:
             return read(spark, chosen)
