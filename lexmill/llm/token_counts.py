@@ -15,7 +15,9 @@ from __future__ import annotations
 
 import json
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -52,55 +54,62 @@ class PrefixCounter:
         pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in merges]
         self.rank = {p: k for k, p in enumerate(pairs)}
         self.letters = byte_letters()
-        self.vocab = {*said["model"]["vocab"]}
-        self.longest = max(map(len, self.vocab))
+        # Tokens in the order in which they are made: single letters, then one a merge; and the two that each is made of.
+        letters = sorted(self.letters.values())
+        made = ["".join(p) for p in pairs]
+        self.ids = {t: k for k, t in enumerate([*letters, *made])}
+        n = len(letters)
+        if len(self.ids) != n + len(made):
+            raise ValueError("a token is made by two merges")
+        self.left, self.right = ([*range(n), *(self.ids[p[side]] for p in pairs)] for side in (0, 1))
+        self.joined = {self.ids[a] << 32 | self.ids[b]: n + k for k, (a, b) in enumerate(pairs)}
+        # The lengths of tokens of four letters and more by their last four, longest first.
+        ends: dict[str, set[int]] = {}
+        for t in made:
+            if len(t) >= 4:
+                ends.setdefault(t[-4:], set()).add(len(t))
+        self.lengths = {e: (*sorted(have, reverse=True), 3, 2, 1) for e, have in ends.items()}
         self.special = [t["content"] for t in said.get("added_tokens", [])]
         self.cut = re.compile("|".join(f"({re.escape(s)})" for s in self.special)) if self.special else None
         self.library = Tokenizer.from_file(path)
-        self.stable: dict[tuple[str, str], bool] = {}
         self.whole: dict[str, int] = {}
         #: The counts at every prefix of the pieces in whole, a byte each (pieces of under 64 characters).
         self.tables: dict[str, bytes] = {}
         self.latin = {c: "".join(self.letters[b] for b in c.encode()) for c in map(chr, range(0x180))}
 
-    def merged(self, word: str) -> list[str]:
-        """The plain encoding of a short string, by merging the lowest ranked pair again and again."""
-        parts = list(word)
-        while len(parts) > 1:
-            best, at = min((self.rank.get((parts[k], parts[k + 1]), 1 << 60), k) for k in range(len(parts) - 1))
-            if best == 1 << 60:
-                break
-            pair, out, k = (parts[at], parts[at + 1]), [], 0
-            while k < len(parts):
-                if k + 1 < len(parts) and (parts[k], parts[k + 1]) == pair:
-                    out.append(parts[k] + parts[k + 1])
-                    k += 2
-                else:
-                    out.append(parts[k])
-                    k += 1
-            parts = out
-        return parts
-
-    def beside(self, left: str, right: str) -> bool:
-        key = (left, right)
-        known = self.stable.get(key)
-        if known is None:
-            if len(self.stable) > REMEMBERED:
-                self.stable.clear()
-            known = self.stable[key] = self.merged(left + right) == [x for x in key if x]
-        return known
+    def beside(self, a: int, b: int) -> bool:
+        """Whether token b stays apart after token a: merges are taken back, the last one first, as long as none across the border would have come before them."""
+        limit, joined, left, right = 1 << 60, self.joined, self.left, self.right
+        while True:
+            if joined.get(a << 32 | b, limit) < limit:
+                return False
+            if a > b:
+                if right[a] != a:
+                    limit, a = a, right[a]
+                    continue
+                if left[b] == b:
+                    return True
+                limit, b = b + 1, left[b]
+            else:
+                if left[b] != b:
+                    limit, b = b + 1, left[b]
+                    continue
+                if right[a] == a:
+                    return True
+                limit, a = a, right[a]
 
     def table(self, piece: str) -> list[int]:
         """The token count of every prefix of a piece, by its bytes: table[i] is for the first i bytes."""
         word = piece if piece.isascii() and piece.isalnum() else "".join(self.latin.get(c) or "".join(self.letters[b] for b in c.encode("utf-8", "surrogatepass")) for c in piece)
-        n, vocab, longest = len(word), self.vocab, self.longest
-        last, count = [""] * (n + 1), [0] * (n + 1)
+        n, ids, lengths, beside, short = len(word), self.ids, self.lengths, self.beside, (3, 2, 1)
+        last, count = [-1] * (n + 1), [0] * (n + 1)
         for i in range(1, n + 1):
-            for j in range(max(0, i - longest), i):
-                token = word[j:i]
-                if token in vocab and (i - j == 1 == i or self.beside(last[j], token)):
-                    last[i], count[i] = token, count[j] + 1
-                    break
+            for size in lengths.get(word[i - 4 : i], short) if i >= 4 else short:
+                if size <= i:
+                    token = ids.get(word[i - size : i])
+                    if token is not None and (size == i or beside(last[i - size], token)):
+                        last[i], count[i] = token, count[i - size] + 1
+                        break
             else:
                 raise ValueError(f"no token ends at byte {i} of {piece!r}")
         return count
@@ -127,12 +136,12 @@ class PrefixCounter:
         n = self.whole.get(piece)
         return self.prefixes(piece)[-1] if n is None else n
 
+    def counts(self, pieces: list[str]) -> list[int]:
+        known = list(map(self.whole.get, pieces))
+        return [self.prefixes(p)[-1] if n is None else n for p, n in zip(pieces, known)] if None in known else known
+
     def plain(self, text: str) -> int:
-        pieces = self.pieces(text)
-        counts = list(map(self.whole.get, pieces))
-        if None in counts:
-            return sum([self.prefixes(p)[-1] if n is None else n for p, n in zip(pieces, counts)])
-        return sum(counts)
+        return sum(self.counts(self.pieces(text)))
 
     def count(self, text: str) -> int:
         """Tokens of a text; a special string in it is one token, as the library takes it by default."""
@@ -140,28 +149,34 @@ class PrefixCounter:
             return self.plain(text)
         return sum(1 if part in self.special else self.plain(part) for part in self.cut.split(text) if part)
 
+    def measured(self, text: str, budget: int) -> tuple[int, int]:
+        """The tokens of a text, and the length in characters of its longest prefix that has at most budget tokens, from the stored counts: whole pieces as long as they fit,
+        and of the piece that doesn't, its longest prefix that does. (Where a cut leaves white space or an apostrophe last, the pieces before it may change; such a cut is counted again.)"""
+        if self.cut is None or not any(s in text for s in self.special):
+            pieces = self.pieces(text)
+            counts = self.counts(pieces)
+        else:
+            pieces, counts = [], []
+            for part in [p for p in self.cut.split(text) if p]:
+                own = [part] if part in self.special else self.pieces(part)
+                pieces += own
+                counts += [1] if part in self.special else self.counts(own)
+        total = sum(counts)
+        if total <= budget:
+            return total, len(text)
+        used = [0, *accumulate(counts)]
+        whole = bisect_right(used, budget) - 1
+        at, used, piece = sum(map(len, pieces[:whole])), used[whole], pieces[whole]
+        if piece not in self.special:
+            ends = [0, *accumulate(len(c.encode("utf-8", "surrogatepass")) for c in piece)]
+            known = self.prefixes(piece)
+            for k in range(len(piece) - 1, 0, -1):
+                if used + known[ends[k]] <= budget and self.prefix(text, at + k) <= budget:
+                    return total, at + k
+        return total, at
+
     def within(self, text: str, budget: int) -> int:
-        """The length in characters of the longest prefix that has at most budget tokens, from the stored counts: whole pieces as long as they fit, and of the piece that
-        doesn't, its longest prefix that does. (Where a cut leaves white space or an apostrophe last, the pieces before it may change; such a cut is counted again.)"""
-        at = used = 0
-        parts = [text] if self.cut is None else [p for p in self.cut.split(text) if p]
-        for part in parts:
-            for piece in [part] if part in self.special else self.pieces(part):
-                n = 1 if part in self.special else self.of_piece(piece)
-                if used + n > budget:
-                    if part in self.special:
-                        return at
-                    ends = [0]
-                    for c in piece:
-                        ends.append(ends[-1] + len(c.encode("utf-8", "surrogatepass")))
-                    counts = self.prefixes(piece)
-                    for k in range(len(piece) - 1, 0, -1):
-                        if used + counts[ends[k]] <= budget and self.prefix(text, at + k) <= budget:
-                            return at + k
-                    return at
-                used += n
-                at += len(piece)
-        return at
+        return self.measured(text, budget)[1]
 
     def prefix(self, text: str, length: int) -> int:
         """Tokens of text[:length], from the stored counts; only the two pieces before the cut are split again, as splitting looks ahead but never back."""
@@ -200,13 +215,13 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 1024, id_col: str
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in parts(batches, 2000, 1):
                 texts = [t or "" for t in b.column(1).to_pylist()]
-                counts = [c.count(t) for t in texts]
+                counts, fit = zip(*(c.measured(t, limit) for t in texts))
                 yield batch(
                     doc_id=b.column(0),
                     n_bytes=pa.array([len(t) if t.isascii() else len(t.encode()) for t in texts], pa.int64()),
                     n_tokens=pa.array(counts, pa.int64()),
                     over_limit=pa.array([n > limit for n in counts], pa.bool_()),
-                    fit_chars=pa.array([len(t) if n <= limit else c.within(t, limit) for t, n in zip(texts, counts)], pa.int64()),
+                    fit_chars=pa.array(fit, pa.int64()),
                 )
 
         return run
