@@ -1,4 +1,4 @@
-"""Rule book lookup (C-09, H-10 to H-12, J-13, J-14, J-18, K-06, P-15, T-04, T-09)."""
+"""Rule book lookup (C-09, C-10, H-10 to H-12, J-13, J-14, J-18, K-06, P-15, T-04, T-09)."""
 
 from __future__ import annotations
 
@@ -136,6 +136,11 @@ def rendered(sections: DataFrame, most: int = 6000) -> DataFrame:
     return sections.select("id", F.concat(cut, F.lit("\n\nSource: "), citation()).alias("markdown"))
 
 
+def writing_guide(digest: DataFrame, notes: DataFrame) -> DataFrame:
+    """C-10. text: the digest of the rule book, a line across, and the notes on grammar. Both as read_markdown gives them, one row each; without either there is no guide."""
+    return digest.select(F.col("text").alias("digest")).join(F.broadcast(notes.select(F.col("text").alias("notes")).limit(1))).select(F.concat_ws("\n\n---\n\n", "digest", "notes").alias("text"))
+
+
 def citation():
     """H-11."""
     return F.format_string(f"{SOURCE}, §%s, S. %d", F.col("id"), F.col("page"))

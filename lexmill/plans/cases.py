@@ -17,7 +17,7 @@ from ..functions import text as X
 from ..operators import compose, grammar, lexicon, nrule, orthography, rules, search, spelling
 from ..operators.tokens import neighbours, tokenize, words
 from ..session import shared_folder
-from ..sources import corpus, lists
+from ..sources import corpus, hunspell, lists, lookup
 from .catalogue import _table, query
 
 
@@ -719,3 +719,40 @@ def s12(spark, d):
 def s14(spark, d):
     """S-14, S-15: forms without flags and morphology; counts are no words."""
     return lists.read_wordlist(spark, _written(spark, d, "3\n@N@/e1 po:noun\nhaut po:adverb\nd'Haus", one_file=True)).select("form")
+
+
+_AFF = "SET UTF-8\nFLAG long\nNEEDAFFIX na\nFORBIDDENWORD fo\nSFX e1 Y 2\nSFX e1 0 er [^E]\nSFX e1 E en/g1 E\nSFX g1 N 1\nSFX g1 0 s .\nPFX on Y 1\nPFX on 0 on .\nSFX n1 N 1\nSFX n1 0 t ."
+
+
+@query("s14_affix_forms", """SELECT DISTINCT unnest(CASE WHEN n_name LIKE '%E' THEN [n_name, stem || 'en', stem || 'ens', 'on' || n_name, 'on' || stem || 'en'] ELSE [n_name, n_name || 'er', 'on' || n_name, 'on' || n_name || 'er'] END
+    || [n_name || '-maacht', 'haut']) AS form FROM (SELECT n_name, left(n_name, length(n_name) - 1) AS stem FROM nation)""")
+def s14_affixes(spark, d):
+    """S-14: forms that suffixes, suffixes of suffixes and prefixes make; what needs an affix or is forbidden is none."""
+    dic = _written(spark, d, "9\n@N@/e1on po:noun\n@N@-maach/nan1\nhaut po:adverb\nhauter/fo", one_file=True)
+    aff = _folder(spark)
+    spark.createDataFrame([(_AFF,)], "value string").coalesce(1).write.text(aff)
+    return hunspell.read_dictionary(spark, dic, aff)
+
+
+@query("c10_writing_guide", "SELECT '# Rules' || chr(10) || chr(10) || '---' || chr(10) || chr(10) || '# Notes' AS text")
+def c10(spark, d):
+    """C-10, S-12."""
+    def page(text: str) -> DataFrame:
+        path = _folder(spark)
+        spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(path)
+        return lists.read_markdown(spark, path)
+
+    return rules.writing_guide(page("<!-- x -->\n# Rules"), page("# Notes\n"))
+
+
+def _length_of(key: str) -> str:
+    if key.startswith("U"):
+        raise ValueError("no such word")
+    return str(len(key))
+
+
+@query("s18_lookups", "SELECT n_name AS key, CASE WHEN n_name NOT LIKE 'U%' THEN length(n_name)::VARCHAR END AS body, CASE WHEN n_name LIKE 'U%' THEN 'ValueError: no such word' END AS error FROM nation")
+def s18(spark, d):
+    """S-08, S-18 to S-20, K-08: each key asked for once; a failure is its row's."""
+    names = _table(spark, d, "customer").join(_nations(spark, d), F.col("c_nationkey") == F.col("n_nationkey"), "right").select(F.col("n_name").alias("key"))
+    return lookup.look_up(names, _length_of, _folder(spark), pause=0.0).select("key", "body", "error")

@@ -1,6 +1,7 @@
 """Readers, dictionary documents, rule books and retrieval on small fixtures of our own."""
 
 import json
+import time
 import zipfile
 
 import pytest
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from lexmill.functions import text as X
 from lexmill.operators import lexicon as L
 from lexmill.operators import retrieval, rules, search
-from lexmill.sources import corpus, lists
+from lexmill.sources import corpus, hunspell, lists, lookup
 from lexmill.streaming.checks import check_stream
 
 TMX = """<?xml version="1.0" encoding="UTF-8"?>
@@ -192,3 +193,48 @@ def test_lookups(spark, tmp_path):
     assert "auxiliary: hunn/sinn" in told and "| ech | baamen |" in told and "| du | baams |" in told
     with pytest.raises(ValueError):
         L.dictionary_search(h, "x", lang="xx")
+
+
+def test_affixes(spark, tmp_path):
+    (tmp_path / "a.aff").write_text("SET UTF-8\nFLAG num\nONLYINCOMPOUND 9\nPFX 1 N 1\nPFX 1 0 ver/2 [^aeiou-]\nSFX 2 Y 2\nSFX 2 en t en\nSFX 2 0 s/9 [a-]\n")
+    (tmp_path / "a.dic").write_text("5\nstoen/1,2\noen/1\ndada/2\nfir/9\nkm\\/h\n")
+    got = {r["form"] for r in hunspell.read_dictionary(spark, str(tmp_path / "a.dic"), str(tmp_path / "a.aff")).collect()}
+    # The prefix doesn't go with other suffixes, but has one of its own; "dadas" stands only in compounds.
+    assert got == {"stoen", "stot", "verstoen", "verstot", "oen", "dada", "km/h"}
+    (tmp_path / "b.aff").write_text("AF 1\nAF xy\n")
+    with pytest.raises(ValueError):
+        hunspell.read_affixes(spark, str(tmp_path / "b.aff"))
+    (tmp_path / "c.aff").write_text("SET UTF-8\n")
+    (tmp_path / "c.dic").write_text("1\nhaut/xy po:adverb\n")
+    assert [r["form"] for r in hunspell.read_dictionary(spark, str(tmp_path / "c.dic"), str(tmp_path / "c.aff")).collect()] == ["haut"]
+
+
+def test_outside_lookups(spark, tmp_path):
+    tried = []
+
+    def flaky(key):
+        tried.append(key)
+        if len(tried) == 1:
+            raise lookup.Passing("busy")
+        return key.upper()
+
+    assert lookup.attempt(flaky, "a", pause=0) == ("A", None) and tried == ["a", "a"]
+    tried.clear()
+    assert lookup.attempt(flaky, "a", attempts=1, pause=0) == (None, "Passing: busy")
+    folder, calls = str(tmp_path / "kept"), tmp_path / "calls"
+    calls.mkdir()
+
+    def fetch(key):
+        (calls / f"{key}-{time.time_ns()}").touch()
+        if key == "bad":
+            raise ValueError("no")
+        return key * 2
+
+    keys = spark.createDataFrame([("a",), ("a",), ("bad",), (None,)], "key string")
+    ask = lambda k, **more: sorted((r["key"], r["body"], r["error"]) for r in lookup.look_up(k, fetch, folder, 2, pause=0, **more).collect())
+    want = [("a", "aa", None), ("bad", None, "ValueError: no")]
+    assert ask(keys) == want and len(list(calls.iterdir())) == 2
+    assert ask(keys) == want and len(list(calls.glob("a-*"))) == 1 and len(list(calls.glob("bad-*"))) == 2
+    time.sleep(0.1)
+    assert ask(keys.where("key = 'a'"), max_age=0.01) == want[:1] and len(list(calls.glob("a-*"))) == 2
+    assert ask(keys.limit(0)) == []
