@@ -137,20 +137,38 @@ def looks_like_participle(text: Column, lower: Column) -> Column:
 
 
 def auxiliary_candidates(words: DataFrame, most: int = 3) -> DataFrame:
-    """W-06, J-07. For each auxiliary its likely participles, best first: after it the last of its clause first; before it, if it ends its clause, the two words before."""
-    w, last = _order(), F.max("widx").over(Window.partitionBy("doc_id"))
-    is_aux = F.col("lower").isin(*TO_SINN, *TO_HUNN)
-    rows = words.select("*", is_aux.alias("aux"), looks_like_participle(F.col("text"), F.col("lower")).alias("likely"), last.alias("last"), F.lead("text").over(w).alias("next"))
-    rows = rows.withColumn("reach", F.sum(F.col("aux").cast("int")).over(w))
-    aux = rows.where("aux").select("doc_id", "widx", "text", "lower", "start", "end", "break_after", "clause", "reach", "last", "next")
-    part = rows.where("likely").select("doc_id", F.col("widx").alias("pidx"), F.col("text").alias("participle"), F.col("clause").alias("pclause"), F.col("reach").alias("preach"))
+    """W-06, J-07. For each auxiliary its likely participles, best first (n from 1): after it the last of its clause first; before it, if it ends its clause, the two words before.
+
+    words: of tokens.words; or of tokens.clauses, without offsets: then start, end and next are not given, and no row is moved.
+    """
+    whole = "widx" in words.columns
+    rows = _clauses_of(words) if whole else words.withColumn("more", F.lit(None).cast("array<struct<start: int>>"))
+    is_aux = lambda x: x.isin(*TO_SINN, *TO_HUNN)
+    rows = rows.select("*", F.transform("words", F.lower).alias("lowers")).where(F.exists("lowers", is_aux))
+    at = F.filter(F.transform("lowers", lambda x, i: F.when(is_aux(x), i)), lambda i: i.isNotNull())
+    rows = rows.select("*", at.alias("at"), F.size("words").alias("size"))
+
     # A participle after an auxiliary has no other auxiliary between them; one before it is at most two words away.
-    ahead = aux.where(~F.col("break_after")).join(part.withColumnsRenamed({"pclause": "clause", "preach": "reach"}), ["doc_id", "clause", "reach"]).where("pidx > widx").withColumn("side", F.lit(0)).withColumn("rank", -F.col("pidx"))
-    behind = aux.where("break_after or widx = last").join(part.withColumnsRenamed({"pclause": "clause"}), ["doc_id", "clause"]).where("pidx between widx - 2 and widx - 1").withColumn("side", F.lit(1)).withColumn("rank", -F.col("pidx"))
-    columns = ["doc_id", "widx", "text", "lower", "start", "end", "next", "pidx", "participle", "side", "rank"]
-    both = ahead.select(*columns).union(behind.select(*columns))
-    order = Window.partitionBy("doc_id", "widx").orderBy("side", "rank")
-    return both.withColumn("n", F.row_number().over(order)).where(F.col("n") <= most)
+    def one(i: Column, k: Column) -> Column:
+        behind = i == F.col("size") - 1
+        start, stop = F.when(behind, F.greatest(i - 2, F.lit(0))).otherwise(i + 1), F.when(behind, i).otherwise(F.coalesce(F.get("at", k + 1), F.col("size")))
+        return F.struct(
+            (F.col("first") + i).alias("widx"), F.get("words", i).alias("text"), F.get("lowers", i).alias("lower"), F.get("more", i).alias("more"),
+            behind.cast("int").alias("side"), (F.col("first") + start).alias("from"), F.slice("words", start + 1, stop - start).alias("near"),
+        )
+
+    aux = rows.select("doc_id", F.explode(F.transform("at", one)).alias("x")).select("doc_id", "x.*")
+    likely = F.transform("near", lambda x, i: F.when(looks_like_participle(x, F.lower(x)), F.struct((F.col("from") + i).alias("pidx"), x.alias("participle"))))
+    found = F.slice(F.reverse(F.filter(likely, lambda x: x.isNotNull())), 1, most)
+    aux = aux.select("doc_id", "widx", "text", "lower", "more", "side", F.posexplode(found).alias("_k", "x"))
+    return aux.select("doc_id", "widx", "text", "lower", *(["more.*"] if whole else []), "x.*", "side", (-F.col("x.pidx")).alias("rank"), (F.col("_k") + 1).alias("n"))
+
+
+def _clauses_of(words: DataFrame) -> DataFrame:
+    """The rows of tokens.clauses, of tokens.words; more: of each word start, end, and the next word of its document."""
+    rows = words.select("*", F.lead("text").over(_order()).alias("next"))
+    rows = rows.groupBy("doc_id", "clause").agg(F.array_sort(F.collect_list(F.struct("widx", "text", "start", "end", "next"))).alias("w"))
+    return rows.select("doc_id", "clause", F.col("w")[0]["widx"].alias("first"), F.col("w.text").alias("words"), F.transform("w", lambda x: F.struct(x["start"], x["end"], x["next"])).alias("more"))
 
 
 def check_auxiliaries(words: DataFrame, participles: DataFrame) -> DataFrame:

@@ -1,14 +1,17 @@
 """Checks on constructed sentences."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from lexmill.operators.compose import Language, draft_check, n_rule_check, report, spell_check, summary
-from lexmill.operators.grammar import check_grammar
+from lexmill.operators.grammar import TO_HUNN, TO_SINN, auxiliary_candidates, check_grammar, looks_like_participle
 from lexmill.operators.nrule import check_n_rule, number_keeps_n, word_context
 from lexmill.operators.orthography import check_orthography
 from lexmill.operators.spelling import check_spelling, valid_words
-from lexmill.operators.tokens import neighbours, tokenize, words
+from lexmill.operators.tokens import clauses, neighbours, tokenize, words
+from lexmill.plans import catalogue
 
 WORDS = "den de Mann Ball mir maachen maache Kaffi Apel Hond Direkter dat en Zuch ech kommen komme wann ass midd Zwee Phasen Phase Modell Haus schéin Geschicht eng Phas Ech hunn hu Saach Been doheem Gäert Kichen".split()
 NOUNS = [("Stad", "Stad", "F", True), ("Haus", "Haus", "N", True), ("Kaffi", "Kaffi", "M", True), ("Auto", "Auto", "M", True), ("Zäit", "Zäit", "F", True), ("Kanner", "Kand", "N", False), ("Leit", "Leit", None, False), ("Frënn", "Frënd", "M", False), ("Fra", "Fra", "F", True), ("Mamm", "Mamm", "F", True)]
@@ -53,6 +56,45 @@ def test_clauses(docs):
     assert [(r["text"], r["break_after"]) for r in rows] == [("Ech", False), ("weess", True), ("datt", False), ("hien", True), ("haut", True), ("geet", True)]
 
 
+def test_auxiliary_candidates(docs, spark):
+    odd = [
+        "Ech hunn gedronk, gebaut an gefuer hunn", "hunn. hunn", "gebaut ginn ass", "gebaut hunn gefuer ass.", "ass gebaut gefuer gedronk gaangen", "HUNN gebaut. 3.5 gebaut 1. ass, 5ten gefuer",
+        "gebaut\u00a0ass’ ’t ass d’gebaut (ass) – gefuer ass", "", " \n", None, "...", "gebaut ass", "😀 hunn 😀 gefuer", "a b c hätt gebaut hues d'Gebaut gedronk war", "gebaut ginn gefuer hat; ass gefuer",
+    ]
+    rng = random.Random(6)
+    parts = ["hunn", "ass", "Ass", "gebaut", "ginn", "gefuer", "Gebaut", "de", "’t", "3.5", "1.", ".", ",", "–", " ", " ", "'", "\t", "é"]
+    texts = docs(*odd, *(" ".join(rng.choices(parts, k=rng.randrange(60))) for _ in range(150)), *("".join(rng.choices(parts, k=rng.randrange(60))) for _ in range(150)))
+    rows = words(tokenize(texts)).collect()
+    by_clause = {}
+    for r in sorted(rows, key=lambda r: (r["doc_id"], r["widx"])):
+        by_clause.setdefault((r["doc_id"], r["clause"]), []).append(r)
+    assert {(r["doc_id"], r["clause"]): (r["first"], r["words"]) for r in clauses(texts).collect()} == {k: (v[0]["widx"], [r["text"] for r in v]) for k, v in by_clause.items()}
+    aux = {*TO_SINN, *TO_HUNN}
+    likely = {r["text"] for r in spark.createDataFrame([(t,) for t in sorted({r["text"] for r in rows})], "text string").where(looks_like_participle(F.col("text"), F.lower("text"))).collect()}
+    want = set()
+    for (doc, _), own in by_clause.items():
+        for i, r in enumerate(own):
+            if r["lower"] in aux:
+                reach = next((j for j in range(i + 1, len(own)) if own[j]["lower"] in aux), len(own))
+                near = own[max(i - 2, 0) : i] if i == len(own) - 1 else own[i + 1 : reach]
+                want |= {(doc, r["widx"], r["lower"], x["widx"], x["text"], n) for n, x in enumerate([x for x in near[::-1] if x["text"] in likely][:3], 1)}
+    columns = ["doc_id", "widx", "lower", "pidx", "participle", "n"]
+    got, offsets = auxiliary_candidates(clauses(texts)).select(*columns).collect(), auxiliary_candidates(words(tokenize(texts)))
+    assert len(got) == len(want) > 300 and set(map(tuple, got)) == want
+    full = offsets.collect()
+    assert len(full) == len(want) and {tuple(r[c] for c in columns) for r in full} == want
+    at = {(r["doc_id"], r["widx"]): r for r in rows}
+    assert all((r["start"], r["end"]) == (at[r["doc_id"], r["widx"]]["start"], at[r["doc_id"], r["widx"]]["end"]) and r["next"] == (n["text"] if (n := at.get((r["doc_id"], r["widx"] + 1))) else None) for r in full)
+
+
+def test_auxiliary_candidates_move_no_rows(docs, tmp_path):
+    docs("Ech hunn gedronk. the Haus that").write.parquet(f"{tmp_path}/documents.parquet")
+    found = catalogue.queries()["w06_auxiliary_candidates"](docs("").sparkSession, str(tmp_path))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert [r["participle"] for r in found.collect()] == ["gedronk"]
+    assert not any(x in plan for x in ("Exchange", "Sort", "Window", "Join"))
+
+
 def test_numbers_and_words(spark):
     numbers = {"1.": True, "5.": False, "8": True, "14": False, "21": True, "100": True, "400": False, "1000": True, "5000": False, "80": True, "1000000": None}
     got = spark.createDataFrame([(n,) for n in numbers], "t string").select("t", number_keeps_n(F.col("t")).alias("k")).collect()
